@@ -38,7 +38,14 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     path = f"{checkpoint_dir(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete a table made by `written` that no later plan reads."""
+    _drop(df.sparkSession, df._written_at)
 
 
 def _drop(spark: SparkSession, path: str) -> None:

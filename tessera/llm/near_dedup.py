@@ -6,13 +6,13 @@ minwise token there. Two documents of similarity s share a child with probabilit
 still holds the pair together with probability p(d), p(0) = 1, p(d+1) = 1 - (1 - s p(d))^2: 0.94 at s = 0.8 and d = 3. Four trees
 miss one pair in about 70,000 at the threshold itself, and fewer above it.
 
-At every level each node with two components or more sends its members to a pivot (a star: as many pairs as members, never all
-pairs), small nodes are compared exhaustively, and large ones branch again. A sketch of 128 one-bit minwise values throws out
+First each large node compares its members with two pivots (stars: as many pairs as members, never all pairs); then, level by level,
+small nodes are compared exhaustively and large ones branch again, down to LAST_DEPTH. A sketch of 128 two-bit minwise values throws out
 dissimilar pairs before they are written; what remains is confirmed on the full sets, in tasks keyed by one document of the pair and
 salted where it has many partners. Confirmed links merge components (large-star / small-star, as joins), and a node whose
 members are all in one component needs no more comparing: so a huge group of near copies collapses after its first star.
-At the last level, nodes that are still large are compared as a join on the node, with the sketch in the join condition: exact,
-for whatever is left. Texts with equal sets are one representative throughout.
+A pair is missed only if no tree brings it into a small node and no star links its ends; the README gives the measured share.
+Texts with equal sets are one representative throughout.
 
 Defined cases: null, empty or blank texts have the empty set, are linked with nothing and keep themselves; rows that share a
 doc_id count as one vertex with the links of all its rows; rows with a null doc_id come back with a null component, kept.
@@ -20,7 +20,7 @@ doc_id count as one vertex with the links of all its rows; rows with a null doc_
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,12 +28,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, table, written
+from .common import release, small, table, written
 
-TREES, POOL, SKETCH_BITS, FIRST_DEPTH, LAST_DEPTH = 4, 8, 128, 3, 8
+TREES, POOL, SKETCH, FIRST_DEPTH, LAST_DEPTH = 4, 8, 128, 3, 5
 SMALL_NODE, FAN = 16, 256
-#: Of the 128 sketch bits, 115.2 +- 3.4 agree at similarity 0.8; 98 is five standard deviations below.
-SKETCH_LEAST = 98
+#: Of the 128 two-bit minwise values, 108.8 +- 4.0 agree at similarity 0.8; 91 is 4.4 standard deviations below.
+SKETCH_LEAST = 91
+SKETCHES = [f"sketch{i}" for i in range(SKETCH // 32)]
 _MIX, _ROT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -70,11 +71,11 @@ def _signed(x: int) -> int:
 
 
 def _coefficients() -> np.ndarray:
-    return np.random.default_rng(20240229).integers(1, 1 << 63, TREES * POOL + SKETCH_BITS, dtype=np.uint64) | np.uint64(1)
+    return np.random.default_rng(20240229).integers(1, 1 << 63, TREES * POOL + SKETCH, dtype=np.uint64) | np.uint64(1)
 
 
 def signatures(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    """doc_id, text -> doc_id, n, key1, key2 (hash of the set), pools (2 longs a tree), sketch1, sketch2."""
+    """doc_id, text -> doc_id, n, key1, key2 (hash of the set), pools (2 longs a tree), SKETCHES."""
     seen, a = Hashes(), _coefficients()
     for batch in batches:
         for start in range(0, len(batch), 512):
@@ -92,12 +93,12 @@ def signatures(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFr
             mins = _final(mins)
             tokens = (mins[:, : TREES * POOL] & np.uint64(0xFFFF)).reshape(len(part), TREES * 2, POOL // 2)
             pools = sum(tokens[:, :, i] << np.uint64(16 * i) for i in range(POOL // 2)).view(np.int64)
-            bits = (mins[:, TREES * POOL :] & np.uint64(1)).reshape(len(part), 2, 64)
-            sketch = sum(bits[:, :, i] << np.uint64(i) for i in range(64)).view(np.int64)
+            pairs = (mins[:, TREES * POOL :] & np.uint64(3)).reshape(len(part), len(SKETCHES), 32)
+            sketch = sum(pairs[:, :, i] << np.uint64(2 * i) for i in range(32)).view(np.int64)
             keys = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
             yield pd.DataFrame({
                 "doc_id": part["doc_id"].to_numpy(), "n": n, "key1": [_signed(k >> 64) for k in keys], "key2": [_signed(k & (1 << 64) - 1) for k in keys],
-                "pools": list(pools), "sketch1": sketch[:, 0], "sketch2": sketch[:, 1],
+                "pools": list(pools), **{c: sketch[:, i] for i, c in enumerate(SKETCHES)},
             })
 
 
@@ -123,8 +124,7 @@ def verify(batches: Iterator[pd.DataFrame], size: int, percent: int) -> Iterator
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough; texts: id, text."""
-    pairs = written(pairs.distinct())
+    """The pairs (a, b), distinct and written, whose sets are similar enough; texts: id, text."""
     n = pairs.count()
     degree = pairs.groupBy("a").agg(F.count("*").alias("_d"))
     spread = pairs.join(degree, "a").select("a", "b", F.when(F.col("_d") <= FAN, 0).otherwise(F.pmod(F.xxhash64("b"), F.ceil(F.col("_d") / FAN))).cast("int").alias("salt"))
@@ -150,7 +150,10 @@ def components(edges: DataFrame) -> DataFrame:
         tied = large.join(low, "u")
         nxt = tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")
         nxt = written(nxt.distinct())
-        if not _differ(now, nxt):
+        release(large)
+        same = not _differ(now, nxt)
+        release(now)
+        if same:
             return nxt.select(F.col("u").alias("id"), F.col("v").alias("component"))
         now = nxt
 
@@ -174,20 +177,35 @@ def _branch(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(_children(F.col("node"), F.col("pool1"), F.col("pool2"))).alias("node"), *kept)
 
 
-def _alike(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
-    return F.bit_count(a1.bitwiseXOR(b1)) + F.bit_count(a2.bitwiseXOR(b2)) <= SKETCH_BITS - SKETCH_LEAST
+def _alike(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Whether two sketches agree in SKETCH_LEAST values; a and b give the column of each part."""
+    differ = lambda x: F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return sum((differ(a(c).bitwiseXOR(b(c))) for c in SKETCHES[1:]), differ(a(SKETCHES[0]).bitwiseXOR(b(SKETCHES[0])))) <= SKETCH - SKETCH_LEAST
 
 
-def _candidates(rows: DataFrame, least_exhaustive: int | None) -> DataFrame:
-    """Pairs (a < b) of different labels: stars of every node, all pairs of nodes up to the given size (None: of every node)."""
-    order = F.xxhash64("rep", "node")
-    pivots = rows.groupBy("node").agg(F.min_by(F.struct("rep", "sketch1", "sketch2", "label"), F.struct(order, F.col("rep"))).alias("p"))
-    star = rows.join(pivots, "node").where((F.col("label") != F.col("p.label")) & _alike(F.col("sketch1"), F.col("sketch2"), F.col("p.sketch1"), F.col("p.sketch2")))
-    star = star.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
-    few = rows if least_exhaustive is None else rows.where(F.col("size") <= least_exhaustive)
-    x, y = few.select("node", "rep", "label", "sketch1", "sketch2"), few.select("node", F.col("rep").alias("rep2"), F.col("label").alias("label2"), F.col("sketch1").alias("t1"), F.col("sketch2").alias("t2"))
-    on = (x["node"] == y["node"]) & (x["rep"] < y["rep2"]) & (x["label"] != y["label2"]) & _alike(x["sketch1"], x["sketch2"], y["t1"], y["t2"])
-    return star.unionByName(x.join(y, on).select(F.col("rep").alias("a"), F.col("rep2").alias("b")))
+def _star(rows: DataFrame, order: Column) -> DataFrame:
+    """Pairs of each member of a node with the node's pivot, the member least in `order`."""
+    pivots = rows.groupBy("node").agg(F.min_by(F.struct("rep", "label", *SKETCHES), F.struct(order, F.col("rep"))).alias("p"))
+    met = rows.join(pivots, "node").where((F.col("label") != F.col("p.label")) & _alike(F.col, lambda c: F.col(f"p.{c}")))
+    return met.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
+
+
+def _stars(rows: DataFrame) -> DataFrame:
+    """In small nodes none is needed; large ones have a random pivot and the most central member.
+
+    Central is who shares its nodes with most documents: the original of a group of copies that each went their own way.
+    """
+    large = rows.where(F.col("size") > SMALL_NODE)
+    central = large.groupBy("rep").agg(F.sum("size").alias("_c"))
+    ranked = large.join(central, "rep")
+    return _star(ranked, -F.col("_c")).unionByName(_star(large, F.xxhash64("rep", "node")))
+
+
+def _exhaustive(rows: DataFrame) -> DataFrame:
+    """Pairs of different labels that share a node."""
+    x, y = rows.select("node", "rep", "label", *SKETCHES), rows.select(F.col("node").alias("node2"), F.col("rep").alias("rep2"), F.col("label").alias("label2"), *[F.col(c).alias(f"{c}_2") for c in SKETCHES])
+    on = (x["node"] == y["node2"]) & (x["rep"] < y["rep2"]) & (x["label"] != y["label2"]) & _alike(F.col, lambda c: F.col(f"{c}_2"))
+    return x.join(y, on).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
@@ -202,7 +220,7 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     Documents are linked if 100 * intersection >= percent * union of their sets of `size`-word shingles.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    made = "doc_id long, n long, key1 long, key2 long, pools array<long>, sketch1 long, sketch2 long"
+    made = "doc_id long, n long, key1 long, key2 long, pools array<long>, " + ", ".join(f"{c} long" for c in SKETCHES)
     signed = written(docs.where("doc_id is not null").mapInPandas(lambda b: signatures(b, size), made))
     null_ids = docs.where("doc_id is null")
     filled = signed.where("n > 0")
@@ -210,30 +228,43 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     # a doc_id with several rows may stand for several sets; they are linked through it
     members = filled.select("doc_id", "key1", "key2").join(classes, ["key1", "key2"]).select("doc_id", "rep")
     first = filled.join(classes.withColumnRenamed("rep", "doc_id"), ["key1", "key2", "doc_id"]).groupBy("key1", "key2").agg(
-        F.min("doc_id").alias("rep"), F.min_by(F.struct("pools", "sketch1", "sketch2"), "doc_id").alias("s")
+        F.min("doc_id").alias("rep"), F.min_by(F.struct("pools", *SKETCHES), "doc_id").alias("s")
     )
     tree = first.select("rep", F.xxhash64("key1", "key2").alias("_u"), F.posexplode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t", "_t"), "s")
     rows = tree.select(
         F.xxhash64(F.lit("tree"), F.col("t")).alias("node"), "rep", F.col("rep").alias("label"), F.get("s.pools", 2 * F.col("t")).alias("pool1"),
-        F.get("s.pools", 2 * F.col("t") + 1).alias("pool2"), F.col("s.sketch1").alias("sketch1"), F.col("s.sketch2").alias("sketch2"),
+        F.get("s.pools", 2 * F.col("t") + 1).alias("pool2"), *[F.col(f"s.{c}").alias(c) for c in SKETCHES],
     )
     for _ in range(FIRST_DEPTH):
         rows = _branch(rows)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-    links = None
+    links = tried = None
+
+    def confirm(pairs: DataFrame, rows: DataFrame, more: bool = True) -> DataFrame | None:
+        """Verify what has not been tried, and (if more is to come) give rows the labels that follow, without the settled nodes."""
+        nonlocal links, tried
+        new = pairs.distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti")
+        new = written(new)
+        tried = new if tried is None else tried.unionByName(new)
+        if not new.isEmpty():
+            found = written(_confirmed(new, texts, size, percent))
+            links = found if links is None else links.unionByName(found)
+        if links is None or not more:
+            return rows if more else None
+        joined = components(links)
+        relabelled = rows.drop("size").join(joined, rows["rep"] == joined["id"], "left").withColumn("label", F.coalesce("component", "label")).drop("id", "component")
+        return written(_nodes(relabelled))
+
     for depth in range(FIRST_DEPTH, LAST_DEPTH + 1):
         rows = written(_nodes(rows))
         if rows.isEmpty():
             break
-        new = written(_confirmed(_candidates(rows, None if depth == LAST_DEPTH else SMALL_NODE), texts, size, percent))
-        links = new if links is None else links.unionByName(new)
-        rest = rows.where(F.col("size") > SMALL_NODE).drop("size")
-        if depth == LAST_DEPTH or rest.isEmpty():
+        if depth == FIRST_DEPTH:
+            rows = confirm(_stars(rows), rows)
+        rows = confirm(_exhaustive(rows.where(F.col("size") <= SMALL_NODE)), rows.where(F.col("size") > SMALL_NODE), depth < LAST_DEPTH)
+        if rows is None or rows.isEmpty():
             break
-        joined = components(links)
-        relabelled = rest.join(joined, rest["rep"] == joined["id"], "left").withColumn("label", F.coalesce("component", "label")).drop("id", "component")
-        mixed = _nodes(relabelled).drop("size")
-        rows = _branch(mixed)
+        rows = _branch(rows.drop("size"))
     ties = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     joined = components(ties if links is None else ties.unionByName(links))
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "key1", "key2").join(classes, ["key1", "key2"], "left")
