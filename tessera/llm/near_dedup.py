@@ -7,11 +7,13 @@ still holds the pair together with probability p(d), p(0) = 1, p(d+1) = 1 - (1 -
 miss one pair in about 70,000 at the threshold itself, and fewer above it.
 
 First each large node compares its members with two pivots (stars: as many pairs as members, never all pairs); then, level by level,
-small nodes are compared exhaustively and large ones branch again, down to LAST_DEPTH. A sketch of 128 two-bit minwise values throws out
+small nodes are compared exhaustively and large ones branch again, down to LAST_DEPTH. Members of nodes that are large even then
+(dense groups of neighbours below the threshold) meet by an exact prefix join: two sets of the threshold's similarity share one of
+each set's rarest shingles, as many as they may differ in and one more. A sketch of 128 two-bit minwise values throws out
 dissimilar pairs before they are written; what remains is confirmed on the full sets, in tasks keyed by one document of the pair and
 salted where it has many partners. Confirmed links merge components (large-star / small-star, as joins), and a node whose
 members are all in one component needs no more comparing: so a huge group of near copies collapses after its first star.
-A pair is missed only if no tree brings it into a small node and no star links its ends; the README gives the measured share.
+A pair is missed only if no tree keeps it together down to the node where it would be compared, or its sketch is 4.4 deviations off.
 Texts with equal sets are one representative throughout.
 
 Defined cases: null, empty or blank texts have the empty set, are linked with nothing and keep themselves; rows that share a
@@ -32,9 +34,14 @@ from .common import release, small, table, written
 
 TREES, POOL, SKETCH, FIRST_DEPTH, LAST_DEPTH = 4, 8, 128, 3, 5
 SMALL_NODE, FAN = 16, 256
-#: Of the 128 two-bit minwise values, 108.8 +- 4.0 agree at similarity 0.8; 91 is 4.4 standard deviations below.
-SKETCH_LEAST = 91
+#: Shingles in fewer documents of the rest than this are all counted as rare.
+COMMON = 32
+#: A sketch passes if its agreement is at most so many standard deviations below that of the threshold: of 128 two-bit minwise
+#: values, 108.8 +- 4.0 agree at similarity 0.8, and 91 must.
+SIGMAS = 4.4
 SKETCHES = [f"sketch{i}" for i in range(SKETCH // 32)]
+#: The rest is held against longer sketches, which also throw out similarities down to 0.1 below the threshold.
+WIDE = [f"wide{i}" for i in range(16)]
 _MIX, _ROT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -70,31 +77,46 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _coefficients() -> np.ndarray:
-    return np.random.default_rng(20240229).integers(1, 1 << 63, TREES * POOL + SKETCH, dtype=np.uint64) | np.uint64(1)
+def _coefficients(seed: int, n: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1)
+
+
+def _minima(sets: list[np.ndarray], a: np.ndarray) -> np.ndarray:
+    """The minwise values of each set, one a coefficient; those of an empty set mean nothing."""
+    n = np.array([len(s) for s in sets], np.int64)
+    full, mins = np.flatnonzero(n), np.zeros((len(sets), len(a)), np.uint64)
+    if len(full):
+        flat, at = np.concatenate([sets[i] for i in full]), np.concatenate([[0], np.cumsum(n[full])[:-1]])
+        for j in range(len(a)):
+            mixed = flat * a[j]
+            mixed ^= mixed >> np.uint64(32)
+            mins[full, j] = np.minimum.reduceat(mixed, at)
+    return _final(mins)
+
+
+def _two_bits(mins: np.ndarray) -> np.ndarray:
+    """Two bits of each value, 32 to a long."""
+    pairs = (mins & np.uint64(3)).reshape(len(mins), mins.shape[1] // 32, 32)
+    return sum(pairs[:, :, i] << np.uint64(2 * i) for i in range(32)).view(np.int64)
+
+
+def sketch_least(values: int, percent: int) -> int:
+    """How many of the two-bit values must agree."""
+    p = 0.25 + 0.75 * percent / 100
+    return int(values * p - SIGMAS * (values * p * (1 - p)) ** 0.5)
 
 
 def signatures(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
     """doc_id, text -> doc_id, n, key1, key2 (hash of the set), pools (2 longs a tree), SKETCHES."""
-    seen, a = Hashes(), _coefficients()
+    seen, a = Hashes(), _coefficients(20240229, TREES * POOL + SKETCH)
     for batch in batches:
         for start in range(0, len(batch), 512):
             part = batch.iloc[start : start + 512]
             sets = [shingles(t, size, seen) for t in part["text"]]
-            n = np.array([len(s) for s in sets], np.int64)
-            full = np.flatnonzero(n)
-            mins = np.zeros((len(part), len(a)), np.uint64)
-            if len(full):
-                flat, at = np.concatenate([sets[i] for i in full]), np.concatenate([[0], np.cumsum(n[full])[:-1]])
-                for j in range(len(a)):
-                    mixed = flat * a[j]
-                    mixed ^= mixed >> np.uint64(32)
-                    mins[full, j] = np.minimum.reduceat(mixed, at)
-            mins = _final(mins)
+            n, mins = [len(x) for x in sets], _minima(sets, a)
             tokens = (mins[:, : TREES * POOL] & np.uint64(0xFFFF)).reshape(len(part), TREES * 2, POOL // 2)
             pools = sum(tokens[:, :, i] << np.uint64(16 * i) for i in range(POOL // 2)).view(np.int64)
-            pairs = (mins[:, TREES * POOL :] & np.uint64(3)).reshape(len(part), len(SKETCHES), 32)
-            sketch = sum(pairs[:, :, i] << np.uint64(2 * i) for i in range(32)).view(np.int64)
+            sketch = _two_bits(mins[:, TREES * POOL :])
             keys = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
             yield pd.DataFrame({
                 "doc_id": part["doc_id"].to_numpy(), "n": n, "key1": [_signed(k >> 64) for k in keys], "key2": [_signed(k & (1 << 64) - 1) for k in keys],
@@ -177,20 +199,20 @@ def _branch(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(_children(F.col("node"), F.col("pool1"), F.col("pool2"))).alias("node"), *kept)
 
 
-def _alike(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-    """Whether two sketches agree in SKETCH_LEAST values; a and b give the column of each part."""
+def _alike(a: Callable[[str], Column], b: Callable[[str], Column], percent: int, names: list[str] = SKETCHES) -> Column:
+    """Whether two sketches agree in enough values; a and b give the column of each part."""
     differ = lambda x: F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return sum((differ(a(c).bitwiseXOR(b(c))) for c in SKETCHES[1:]), differ(a(SKETCHES[0]).bitwiseXOR(b(SKETCHES[0])))) <= SKETCH - SKETCH_LEAST
+    return sum((differ(a(c).bitwiseXOR(b(c))) for c in names[1:]), differ(a(names[0]).bitwiseXOR(b(names[0])))) <= 32 * len(names) - sketch_least(32 * len(names), percent)
 
 
-def _star(rows: DataFrame, order: Column) -> DataFrame:
+def _star(rows: DataFrame, order: Column, percent: int) -> DataFrame:
     """Pairs of each member of a node with the node's pivot, the member least in `order`."""
     pivots = rows.groupBy("node").agg(F.min_by(F.struct("rep", "label", *SKETCHES), F.struct(order, F.col("rep"))).alias("p"))
-    met = rows.join(pivots, "node").where((F.col("label") != F.col("p.label")) & _alike(F.col, lambda c: F.col(f"p.{c}")))
+    met = rows.join(pivots, "node").where((F.col("label") != F.col("p.label")) & _alike(F.col, lambda c: F.col(f"p.{c}"), percent))
     return met.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
 
 
-def _stars(rows: DataFrame) -> DataFrame:
+def _stars(rows: DataFrame, percent: int) -> DataFrame:
     """In small nodes none is needed; large ones have a random pivot and the most central member.
 
     Central is who shares its nodes with most documents: the original of a group of copies that each went their own way.
@@ -198,16 +220,67 @@ def _stars(rows: DataFrame) -> DataFrame:
     large = rows.where(F.col("size") > SMALL_NODE)
     central = large.groupBy("rep").agg(F.sum("size").alias("_c"))
     ranked = large.join(central, "rep")
-    return _star(ranked, -F.col("_c")).unionByName(_star(large, F.xxhash64("rep", "node")))
+    return _star(ranked, -F.col("_c"), percent).unionByName(_star(large, F.xxhash64("rep", "node"), percent))
 
 
-def _exhaustive(rows: DataFrame) -> DataFrame:
+def _exhaustive(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of different labels that share a node."""
     x, y = rows.select("node", "rep", "label", *SKETCHES), rows.select(F.col("node").alias("node2"), F.col("rep").alias("rep2"), F.col("label").alias("label2"), *[F.col(c).alias(f"{c}_2") for c in SKETCHES])
-    on = (x["node"] == y["node2"]) & (x["rep"] < y["rep2"]) & (x["label"] != y["label2"]) & _alike(F.col, lambda c: F.col(f"{c}_2"))
+    on = (x["node"] == y["node2"]) & (x["rep"] < y["rep2"]) & (x["label"] != y["label2"]) & _alike(F.col, lambda c: F.col(f"{c}_2"), percent)
     return x.join(y, on).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
 
 
+def _token_sets(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """id, text -> rep, key (of the set), tokens, WIDE."""
+    seen, a = Hashes(), _coefficients(20240301, 32 * len(WIDE))
+    for batch in batches:
+        for start in range(0, len(batch), 256):
+            part = batch.iloc[start : start + 256]
+            sets = [shingles(t, size, seen) for t in part["text"]]
+            wide = _two_bits(_minima(sets, a))
+            keys = [_signed(xxhash.xxh3_64_intdigest(s.tobytes())) for s in sets]
+            yield pd.DataFrame({"rep": part["id"].to_numpy(), "key": keys, "tokens": [s.view(np.int64) for s in sets], **{c: wide[:, i] for i, c in enumerate(WIDE)}})
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, key, n, pos, node, short): the rarest tokens of each set, n - ceil(n * percent / 100) + 1 of its n; the order is the same for all.
+
+    The first token in this order that two linked sets share is that early in both, and in the smaller set
+    even among the first n - ceil(2 * n * percent / (100 + percent)) + 1, which `short` marks.
+    """
+    each = sets.select("rep", "key", F.explode("tokens").alias("node"))
+    common = written(each.groupBy("node").agg(F.count("*").alias("_n")).where(F.col("_n") >= COMMON))
+    ranked = each.join(small(common, common.count(), 32), "node", "left").groupBy("rep", "key").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "node"))).alias("_o"))
+    shared = lambda a, b: F.floor((F.size("_o") * a + b - 1) / b).cast("int")
+    cut = ranked.select("rep", "key", F.size("_o").alias("n"), (F.size("_o") - shared(2 * percent, 100 + percent) + 1).alias("_s"), F.posexplode(F.slice("_o", 1, F.size("_o") - shared(percent, 100) + 1)).alias("_p", "_t"))
+    return cut.select("rep", "key", "n", (F.col("_p") + 1).alias("pos"), F.col("_t.node").alias("node"), (F.col("_p") < F.col("_s")).alias("short"))
+
+
+def _rest(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs of different labels among all members of rows whose prefixes meet: none that reaches the threshold is left out.
+
+    Sets of n and m tokens that share the ones at places i and j share min(i, j) + min(n - i, m - j) at most. The members of a token's commonest label do not meet each
+    other, so a group that is one component costs no square.
+    """
+    known = written(rows.groupBy("rep").agg(F.min("label").alias("label")))
+    n = known.count()
+    wanted = texts.join(small(known.select(F.col("rep").alias("id")), n, 16), "id", "left_semi")
+    made = "rep long, key long, tokens array<long>, " + ", ".join(f"{c} long" for c in WIDE)
+    sets = written(wanted.mapInPandas(lambda b: _token_sets(b, size), made).dropDuplicates(["rep", "key"]))
+    held = _nodes(_prefixes(sets, percent).join(small(known, n, 24), "rep")).drop("size")
+    held = written(held.join(small(sets.select("rep", "key", *WIDE), sets.count(), 160), ["rep", "key"]))
+    top = held.groupBy("node", "label").agg(F.count("*").alias("_n")).groupBy("node").agg(F.max_by("label", F.struct("_n", "label")).alias("top"))
+    x = held.drop("key").join(top, "node").where("label <> top")
+    y = held.select(*[F.col(c).alias(f"{c}_2") for c in ("node", "rep", "label", "n", "pos", "short", *WIDE)])
+    room = F.least("pos", "pos_2") + F.least(F.col("n") - F.col("pos"), F.col("n_2") - F.col("pos_2"))
+    on = (
+        (x["node"] == y["node_2"]) & (F.col("label") != F.col("label_2")) & ((F.col("label_2") == F.col("top")) | (F.col("rep") < F.col("rep_2")))
+        & F.when(F.col("n") <= F.col("n_2"), F.col("short")).otherwise(F.col("short_2")) & (room * (100 + percent) >= (F.col("n") + F.col("n_2")) * percent)
+        & _alike(F.col, lambda c: F.col(f"{c}_2"), percent, WIDE)
+    )
+    return x.join(y, on).select(F.least("rep", "rep_2").alias("a"), F.greatest("rep", "rep_2").alias("b"))
+
+
 def _nodes(rows: DataFrame) -> DataFrame:
     """Rows of nodes that hold two labels or more, with the node's size."""
     held = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l <> _h")
@@ -240,17 +313,18 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
     links = tried = None
 
-    def confirm(pairs: DataFrame, rows: DataFrame, more: bool = True) -> DataFrame | None:
-        """Verify what has not been tried, and (if more is to come) give rows the labels that follow, without the settled nodes."""
+    def confirm(pairs: DataFrame, rows: DataFrame | None = None) -> DataFrame | None:
+        """Verify what has not been tried, and give rows the labels that follow, without the settled nodes."""
         nonlocal links, tried
         new = pairs.distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti")
         new = written(new)
         tried = new if tried is None else tried.unionByName(new)
-        if not new.isEmpty():
-            found = written(_confirmed(new, texts, size, percent))
-            links = found if links is None else links.unionByName(found)
-        if links is None or not more:
-            return rows if more else None
+        found = None if new.isEmpty() else written(_confirmed(new, texts, size, percent))
+        if found is None or found.isEmpty():
+            return rows
+        links = found if links is None else links.unionByName(found)
+        if rows is None:
+            return None
         joined = components(links)
         relabelled = rows.drop("size").join(joined, rows["rep"] == joined["id"], "left").withColumn("label", F.coalesce("component", "label")).drop("id", "component")
         return written(_nodes(relabelled))
@@ -260,11 +334,15 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         if rows.isEmpty():
             break
         if depth == FIRST_DEPTH:
-            rows = confirm(_stars(rows), rows)
-        rows = confirm(_exhaustive(rows.where(F.col("size") <= SMALL_NODE)), rows.where(F.col("size") > SMALL_NODE), depth < LAST_DEPTH)
-        if rows is None or rows.isEmpty():
+            rows = confirm(_stars(rows, percent), rows)
+        rows = confirm(_exhaustive(rows.where(F.col("size") <= SMALL_NODE), percent), rows.where(F.col("size") > SMALL_NODE))
+        if rows.isEmpty():
             break
-        rows = _branch(rows.drop("size"))
+        rows = rows.drop("size")
+        if depth < LAST_DEPTH:
+            rows = _branch(rows)
+        else:
+            confirm(_rest(rows, texts, size, percent))
     ties = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     joined = components(ties if links is None else ties.unionByName(links))
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "key1", "key2").join(classes, ["key1", "key2"], "left")

@@ -86,6 +86,25 @@ def test_components_are_those_of_all_pairs(docs, texts, size):
     assert {i: len(s) for i, s in sets.items()} == got.n_shingles.to_dict()
 
 
+@pytest.mark.parametrize("size", [2, 5])
+def test_the_rest_alone_finds_every_link(spark, monkeypatch, size):
+    monkeypatch.setattr(near_dedup, "FIRST_DEPTH", 0)
+    monkeypatch.setattr(near_dedup, "LAST_DEPTH", 0)
+    monkeypatch.setattr(near_dedup, "SMALL_NODE", 1)
+    monkeypatch.setattr(near_dedup, "COMMON", 4)
+    monkeypatch.setattr(near_dedup, "_stars", lambda rows, percent: rows.where("false").select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+    shared = prose(60)
+    made = [shared + " " + prose(rng.randint(8, 20)) for _ in range(60)]  # a dense group around the threshold
+    made += [t.rsplit(" ", rng.randint(0, 12))[0] for t in made[:30]] + [prose(80) for _ in range(10)]
+    sets, root = [shingles(t, size) for t in made], list(range(len(made)))
+    for a, b in combinations(root[:], 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+    got = near_dedup.linked(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"), size, 80).toPandas().set_index("doc_id")
+    assert got.component_id.to_dict() == dict(enumerate(root)) and 1 < len(set(root)) < len(made)
+
+
 def test_no_links_without_rows_and_null_ids_stay(spark, docs):
     assert near_dedup.linked(empty(docs)).count() == 0
     rows = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (1, "a b c"), (1, "d e f"), (2, "d e f")], "doc_id long, text string")
