@@ -148,11 +148,10 @@ def verify(batches: Iterator[pd.DataFrame], size: int, percent: int) -> Iterator
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b), distinct and written, whose sets are similar enough; texts: id, text."""
     n = pairs.count()
-    degree = pairs.groupBy("a").agg(F.count("*").alias("_d"))
-    spread = pairs.join(degree, "a").select("a", "b", F.when(F.col("_d") <= FAN, 0).otherwise(F.pmod(F.xxhash64("b"), F.ceil(F.col("_d") / FAN))).cast("int").alias("salt"))
-    asked = spread.select(F.col("a").alias("hub"), "salt", F.lit(1).alias("role"), F.col("b").alias("other")).unionByName(
-        spread.select(F.col("a").alias("hub"), "salt").distinct().select("hub", "salt", F.lit(0).alias("role"), F.col("hub").alias("other"))
-    )
+    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("_salts"))
+    spread = pairs.join(degree, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("_salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("other"))
+    hubs = degree.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("other"))
+    asked = spread.unionByName(hubs)
     asked = written(asked)
     wanted = texts.join(small(asked.select(F.col("other").alias("id")).distinct(), 2 * n, 16), "id", "left_semi")
     held = asked.join(wanted, asked["other"] == wanted["id"]).select("hub", "salt", "role", "other", "text")
