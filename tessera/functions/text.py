@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Sequence
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 #: General placeholder forms (named printf, positional printf, braces, tags, escapes).
 PLACEHOLDERS = r"%\([A-Za-z_]\w*\)[sd]|%[sd]|\{[^{}\s]*\}|</?[A-Za-z][^<>]*>|\\n"
@@ -81,3 +86,55 @@ def tags_balanced(text: Column, void: Sequence[str] = ("br", "hr", "img", "meta"
         return F.when(stack == "!", stack).when(~closing, F.concat(stack, F.lit("\u001f"), t)).when(top == F.substring(t, F.lit(2), F.length(t)), popped).otherwise(F.lit("!"))
 
     return F.aggregate(names, F.lit("#"), step) == "#"
+
+
+def mask(text: Column, namespace: Column, pattern: str = PLACEHOLDERS) -> Column:
+    """struct(masked, tokens): the i-th placeholder gives way to [PH_<digest of namespace and text>_<i>]; tokens are (token, value) in order."""
+    values = placeholders(text, pattern)
+    mark = F.substring(joined_digest(namespace, text), 1, 8)
+    tokens = F.transform(values, lambda v, i: F.struct(F.concat(F.lit("[PH_"), mark, F.lit("_"), i.cast("string"), F.lit("]")).alias("token"), v.alias("value")))
+    pieces = F.split(text, unicode(f"(?:{pattern})"), -1)
+    lead = F.zip_with(F.slice(pieces, F.lit(1), F.size(pieces) - 1), tokens, lambda p, t: F.concat(p, t["token"]))
+    return F.struct(F.concat(F.array_join(lead, ""), F.element_at(pieces, -1)).alias("masked"), tokens.alias("tokens"))
+
+
+def restore(masked: Column, tokens: Column) -> Column:
+    return F.aggregate(tokens, masked, lambda a, t: F.replace(a, t["token"], t["value"]))
+
+
+@F.pandas_udf(StringType())
+def nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+@F.pandas_udf(StringType())
+def source_form(texts: pd.Series) -> pd.Series:
+    """One form for equal sources: NFKC, io as ie, single spaces, case-folded; null counts as empty."""
+    yo = str.maketrans("\u0451\u0401", "\u0435\u0415")
+    return texts.map(lambda t: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t or "").translate(yo)).strip().casefold())
+
+
+#: Marks and blanks that do not make another translation.
+EDGE_MARKS = " \t\r\n。．.，,、：:；;！!？?"
+
+
+def variant_form(text: Column) -> Column:
+    """NFKC without blanks and EDGE_MARKS at both ends."""
+    edge = "[" + EDGE_MARKS + "]"
+    return F.regexp_replace(strip(nfkc(text)), f"^{edge}+|{edge}+$", "")
+
+
+@F.pandas_udf(ArrayType(StructType().add("op", "string").add("text", "string")))
+def diff(before: pd.Series, after: pd.Series) -> pd.Series:
+    """Character differences: equal, delete and insert, in order. Null counts as empty; for short texts, as the work grows with the square."""
+
+    def ops(a: str, b: str) -> list[dict[str, str]]:
+        out = [] if a != b else [{"op": "equal", "text": b}]
+        for tag, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if a != b else ():
+            if tag == "equal":
+                out.append({"op": tag, "text": b[k:m]})
+            else:
+                out += [{"op": op, "text": t} for op, t in (("delete", a[i:j]), ("insert", b[k:m])) if t]
+        return out
+
+    return pd.Series([ops(a or "", b or "") for a, b in zip(before, after, strict=True)])

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import blank, placeholders, same_multiset, strip
 
 
-def codes() -> Column:
-    """Codes of a unit (source_text, translation) in the order of judgement; a blank text has only the first."""
+def findings() -> Column:
+    """Codes of a unit (source_text, translation) whether or not its text is blank, in the order of judgement."""
     text, source = F.coalesce("translation", F.lit("")), F.col("source_text")
     rest = [
         (~same_multiset(placeholders(source), placeholders(text)), "placeholder_mismatch"),
@@ -17,8 +17,37 @@ def codes() -> Column:
         (F.contains(text, F.lit("\x00")), "invalid_control_character"),
         (text.rlike(r"(?i)[\[［]\s*PH_[0-9a-f]{8}_[0-9]+\s*[\]］]"), "placeholder_variant_residue"),
     ]
-    full = F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in rest]))
-    return F.when(blank(text), F.array(F.lit("empty_translation"))).otherwise(full)
+    return F.array_compact(F.array(F.when(blank(text), F.lit("empty_translation")), *[F.when(c, F.lit(n)) for c, n in rest]))
+
+
+def codes() -> Column:
+    """The findings that are reported: a blank text has only the first."""
+    return F.when(blank(F.col("translation")), F.array(F.lit("empty_translation"))).otherwise(findings())
+
+
+def verdicts(units: DataFrame, edits: DataFrame) -> DataFrame:
+    """stable_identity, known, fixed, remaining, introduced for each edit (stable_identity, text); findings that a blank text hides count."""
+    was = units.select("stable_identity", "source_text", findings().alias("_was"))
+    now = edits.join(was, "stable_identity", "left").withColumn("translation", F.col("text")).withColumn("_now", findings())
+    side = lambda x: F.array_sort(x)
+    return now.select(
+        "stable_identity", F.col("_was").isNotNull().alias("known"), side(F.array_except("_was", "_now")).alias("fixed"),
+        side(F.array_intersect("_was", "_now")).alias("remaining"), F.when(F.col("_was").isNotNull(), side(F.array_except("_now", "_was"))).alias("introduced"),
+    )
+
+
+def classify_history(units: DataFrame, terms: DataFrame) -> DataFrame:
+    """Units with classification and reason: quarantined by the first finding, suspect where clean translations of a source differ, else clean."""
+    broken = term_violations(units, terms).select("stable_identity").distinct().withColumn("_term", F.lit(True))
+    text, source = F.coalesce("translation", F.lit("")), F.col("source_text")
+    reason = F.when(blank(text), "empty_translation").when(strip(text) == strip(source), "untranslated").when(~same_multiset(placeholders(source), placeholders(text)), "placeholder_mismatch")
+    reason = reason.when(F.contains(text, F.lit("\x00")), "invalid_control_character").when(F.col("_term"), "glossary_violation")
+    judged = units.join(broken, "stable_identity", "left").withColumn("reason", reason).drop("_term")
+    split = judged.where("reason is null").groupBy("source_text").agg((F.min("translation") != F.max("translation")).alias("_split"))
+    both = judged.join(split, "source_text", "left")
+    kind = F.when(F.col("reason").isNotNull(), "legacy_quarantined").when(F.col("_split"), "legacy_suspect").otherwise("legacy_clean")
+    why = F.coalesce("reason", F.when(F.col("_split"), F.lit("source_translation_conflict")).otherwise("clean"))
+    return both.withColumn("classification", kind).withColumn("reason", why).drop("_split")
 
 
 def records(units: DataFrame) -> DataFrame:

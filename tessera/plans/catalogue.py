@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..operators import batches as bt
 from ..operators import events as ev
 from ..operators import memory, review
 from ..operators import merge as mg
@@ -429,3 +430,68 @@ def lineage_chain(spark: SparkSession, d: str) -> DataFrame:
     ids = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
     edges = ids.select("id", F.expr("id div 2").alias("parent")).join(ids.select(F.col("id").alias("parent")), "parent", "left_semi").select("id", "parent")
     return ev.lineage(edges)
+
+
+@query(f"""WITH {_VIOLATIONS}, j AS (SELECT u.k, source_text, translation, CASE WHEN trim(translation)='' THEN 'empty_translation' WHEN trim(translation)=trim(source_text) THEN 'untranslated'
+    WHEN EXISTS (SELECT 1 FROM viol WHERE viol.k=u.k) THEN 'glossary_violation' END AS reason FROM u),
+  s AS (SELECT source_text, min(translation)<>max(translation) AS split FROM j WHERE reason IS NULL GROUP BY 1)
+  SELECT k, CASE WHEN reason IS NOT NULL THEN 'legacy_quarantined' WHEN split THEN 'legacy_suspect' ELSE 'legacy_clean' END AS classification,
+    coalesce(reason, CASE WHEN split THEN 'source_translation_conflict' ELSE 'clean' END) AS reason FROM j LEFT JOIN s USING (source_text)""")
+def legacy_classify(spark: SparkSession, d: str) -> DataFrame:
+    terms = spark.createDataFrame(list(TERMS.items()), "source string, target string")
+    return review.classify_history(u_part(spark, d), terms).select("k", "classification", "reason")
+
+
+@query(f"""WITH {U_SQL}, e AS (SELECT stable_identity, CASE WHEN k%2=0 THEN source_text WHEN k%5=0 THEN '' ELSE 'x' END AS text, source_text, translation FROM u WHERE k%3=0),
+  c AS (SELECT *, trim(translation)='' AS we, trim(translation)=trim(source_text) AS wu, trim(text)='' AS ne, trim(text)=trim(source_text) AS nu FROM e)
+  SELECT stable_identity, concat_ws(',', CASE WHEN we AND NOT ne THEN 'empty_translation' END, CASE WHEN wu AND NOT nu THEN 'untranslated' END) AS fixed,
+    concat_ws(',', CASE WHEN we AND ne THEN 'empty_translation' END, CASE WHEN wu AND nu THEN 'untranslated' END) AS remaining,
+    concat_ws(',', CASE WHEN ne AND NOT we THEN 'empty_translation' END, CASE WHEN nu AND NOT wu THEN 'untranslated' END) AS introduced FROM c""")
+def recheck_verdict(spark: SparkSession, d: str) -> DataFrame:
+    u = u_part(spark, d)
+    text = F.when(F.col("k") % 2 == 0, F.col("source_text")).when(F.col("k") % 5 == 0, "").otherwise("x")
+    out = review.verdicts(u, u.where("k % 3 = 0").select("stable_identity", text.alias("text")))
+    return out.select("stable_identity", *[F.array_join(c, ",").alias(c) for c in ("fixed", "remaining", "introduced")])
+
+
+@query(f"WITH {U_SQL} SELECT source_text, translation, count(*) AS n, row_number() OVER (PARTITION BY source_text ORDER BY count(*) DESC, translation) AS place FROM u GROUP BY 1,2")
+def variant_plurality(spark: SparkSession, d: str) -> DataFrame:
+    counted = u_part(spark, d).groupBy("source_text", "translation").agg(F.count("*").alias("n"))
+    return counted.withColumn("place", F.row_number().over(Window.partitionBy("source_text").orderBy(F.desc("n"), "translation")).cast("long"))
+
+
+@query(f"""WITH {_BATCH} SELECT batch_id, count(*) AS total, count(*) FILTER (WHERE state='purchase') AS done, count(*) FILTER (WHERE state='error') AS failed,
+  CAST(count(*) FILTER (WHERE state IN ('purchase','error'))*100//count(*) AS BIGINT) AS percent FROM b GROUP BY 1""")
+def resource_progress(spark: SparkSession, d: str) -> DataFrame:
+    out = _batches(spark, d).groupBy("batch_id").agg(F.count("*").alias("total"), F.count_if(F.col("state") == "purchase").alias("done"), F.count_if(F.col("state") == "error").alias("failed"))
+    return out.withColumn("percent", F.expr("(done + failed) * 100 div total"))
+
+
+@query()
+def token_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of each language and source as budgeted batches."""
+    tokens = tx.token_estimate(F.coalesce("text", F.lit("")))
+    units = table(spark, d, "documents").select(F.concat_ws("/", "lang", "source").alias("relative_path"), F.col("doc_id").alias("ordinal"), (tokens + 4).alias("input_tokens"), (tokens + 2).alias("output_tokens"))
+    return bt.pack(units, 400, *bt.budgets(32_000, 4_096))
+
+
+@query()
+def response_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Each assistant text as the answer to one unit."""
+    said = table(spark, d, "conversations").where("role = 'assistant'")
+    answer = F.concat(F.lit("[1] "), F.coalesce("text", F.lit("")), F.lit("\n---END---"))
+    got = said.select("conv_id", "turn", bt.parse_answer(answer, F.lit(1), F.lit("stop")).alias("r"))
+    return got.select("conv_id", "turn", "r.error", F.sha2(F.element_at("r.translations", 1), 256).alias("digest"))
+
+
+@query()
+def normalize_source(spark: SparkSession, d: str) -> DataFrame:
+    """Digest of each document's source form."""
+    return table(spark, d, "documents").select("doc_id", tx.short_digest(tx.source_form(F.col("text"))).alias("digest"))
+
+
+@query()
+def variant_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Character differences of each unit's source and translation."""
+    cut = F.transform(tx.diff(F.col("source_text"), F.col("translation")), lambda o: F.concat(o["op"], F.lit(":"), o["text"]))
+    return u_part(spark, d).select("k", F.array_join(cut, "|").alias("ops"))
