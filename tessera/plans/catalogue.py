@@ -306,10 +306,19 @@ def token_estimate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tx.token_estimate(F.col("text")).alias("tokens"))
 
 
+def _fragments(docs: DataFrame) -> DataFrame:
+    held = docs.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]*[äöüß][a-zäöüß]*"), F.lit(0))).alias("frag"))
+    return held.groupBy("lang", "frag").agg(F.count("*").alias("n"))
+
+
 @query(r"SELECT lang, frag, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text),'[a-z]*[äöüß][a-zäöüß]*')) AS frag FROM documents WHERE lang='de') GROUP BY 1,2")
 def residue_fragments(spark: SparkSession, d: str) -> DataFrame:
-    held = table(spark, d, "documents").where("lang = 'de'").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]*[äöüß][a-zäöüß]*"), F.lit(0))).alias("frag"))
-    return held.groupBy("lang", "frag").agg(F.count("*").alias("n"))
+    return _fragments(table(spark, d, "documents").where("lang = 'de'"))
+
+
+@query(r"SELECT lang, frag, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text),'[a-z]*[äöüß][a-zäöüß]*')) AS frag FROM documents) GROUP BY 1,2")
+def residue_fragments_by_lang(spark: SparkSession, d: str) -> DataFrame:
+    return _fragments(table(spark, d, "documents"))
 
 
 @query("SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r FROM events) WHERE r<=20")
