@@ -4,7 +4,7 @@ Spans come from built-in functions alone: splitting a text by a pattern gives th
 pieces and matches, added up alternately, give the places (code points, end exclusive).
 
 The battery looks at every run of 20 or more characters of the base-64 alphabets. Its encoding (hex, base32, base64) is the smallest
-alphabet that holds it. Three statistics follow: chi-squared uniformity over the alphabet, the number of runs above and
+alphabet that holds it; hex may be of either case or mixed, and dashed as a UUID. Three statistics follow: chi-squared uniformity over the alphabet, the number of runs above and
 below the alphabet's middle, and the lag-1 serial correlation. Each has a p-value under "random string" (normal
 approximations; Wilson-Hilferty for chi-squared); all three must exceed RANDOM_P. The null hypothesis that discovery has to
 reject is "ordinary text or identifier": its chi-squared grows with the length, so the p-value of so small a value falls with the length, and
@@ -29,7 +29,7 @@ KINDS = ("assign", "access", "hex", "random")
 OPAQUE = r"[A-Za-z0-9+/_-]{20,}"
 #: Name, size, characters in order and the tokens that fit; smallest first.
 ALPHABETS = (
-    ("hex", 16, "0123456789abcdef", r"^[0-9a-f]+$"),
+    ("hex", 16, "0123456789abcdef", r"^[0-9A-Fa-f-]+$"),
     ("base32", 32, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", r"^[A-Z2-7]+$"),
     ("base64", 64, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", r"^[A-Za-z0-9+/_-]+$"),
 )
@@ -90,7 +90,7 @@ def battery(token: Column) -> Column:
     none = F.struct(F.lit("none").alias("encoding"), F.lit(0.0).alias("p_random"), F.lit(0.0).alias("score"))
     out = none
     for name, k, chars, fits in reversed(ALPHABETS):
-        plain = F.translate(token, "-_", "+/") if name == "base64" else token
+        plain = F.translate(token, "-_", "+/") if name == "base64" else F.lower(F.translate(token, "-", "")) if name == "hex" else token
         out = F.when(token.rlike(fits), _tested(name, k, _places(plain, chars))).otherwise(out)
     return F.when(token.rlike("[0-9]") & token.rlike("[A-Za-z]"), out).otherwise(none)
 

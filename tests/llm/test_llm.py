@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import uuid
 from collections import Counter
 from itertools import combinations
 
@@ -181,6 +182,20 @@ def test_random_tokens_stand_out(spark):
     assert sum("random:" in got[i] for i in range(10)) >= 8 and not any("random:" in got[i] for i in got if i >= 100)
 
 
+def test_random_hex_of_any_case_or_dashed_stands_out(spark):
+    raw = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(30)]
+    mixed = ["".join(c.upper() if j % 3 else c for j, c in enumerate(x)) for x in raw[10:20]]
+    made = [x.upper() for x in raw[:10]] + mixed + ["-".join(x[j : j + 8] for j in range(0, 64, 8)) for x in raw[20:]]
+    uuids = [str(uuid.UUID(x[:32])) for x in raw]
+    rows = [(i, "see " + s + " end") for i, s in enumerate(made)] + [(100 + i, "see " + s + " end") for i, s in enumerate(["DEADBEEF00" * 5, "deadbeef-" * 5 + "00000000", "a1" + "-" * 20])]
+    got = {r["doc_id"]: r["s"] for r in secret_scan.secrets(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", secret_scan.rendered(F.col("found")).alias("s")).collect()}
+    for first in (0, 10, 20):
+        assert sum(f"random:4:{4 + len(made[i])}" in got[i] for i in range(first, first + 10)) >= 8
+    assert not any("random:" in got[i] for i in got if i >= 100)
+    tested = spark.createDataFrame([(u,) for u in uuids], "t string").select(secret_scan.battery(F.col("t")).alias("b")).select("b.*").collect()
+    assert {r["encoding"] for r in tested} == {"hex"} and sum(r["p_random"] >= secret_scan.RANDOM_P for r in tested) >= 28
+
+
 @pytest.mark.parametrize("block", [7, 64, 1 << 18])
 def test_token_counts_across_blocks(docs, texts, block):
     encoding = token_scan.encoder()
