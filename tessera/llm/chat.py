@@ -133,11 +133,17 @@ def loss_text(formatted: Column, spans: Column) -> Column:
 PROBE = "</s>[INST] ok [/INST]"
 
 
+def as_parts(text: Column) -> Column:
+    """array<PART> of one part of type text."""
+    lack = F.lit(None)
+    return F.array(F.struct(F.lit("text"), text, lack, lack, lack, lack, lack)).cast(f"array<{PART}>")
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of every conversation and of -1, read back from what `format_chat` wrote."""
+    """Digests of every conversation and of -1, read back from what `format_chat` wrote; each text is one part, met by the visitor."""
     given = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     probe = spark.sql(f"SELECT -1L AS conv_id, turn, role, '{PROBE}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS p(turn, role)")
-    done = format_chat(given.unionByName(probe))
+    done = format_chat(given.unionByName(probe).select("conv_id", "turn", "role", as_parts(F.col("text")).alias("parts")))
     back = done.withColumn("_turns", read_back(F.col("formatted"))).withColumn("_loss", loss_text(F.col("formatted"), F.col("loss_spans")))
     said = F.array_join(F.transform("_turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return back.select(

@@ -147,6 +147,17 @@ def test_chat_parts_become_placeholders(spark):
     assert [(a["ref"], a["tokens"]) for a in row["attachments"]] == [("a.png", 8), ("b.wav", 50), ("c.pdf", 2048)] and row["expanded_tokens"] == 2106
 
 
+def test_op4_formats_its_texts_through_the_visitor(spark, monkeypatch, tmp_path):
+    rows = [(1, 0, "user", "<|end|>"), (1, 1, "assistant", None), (2, 0, None, "")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    plain, escaped = {r["conv_id"]: tuple(r) for r in chat.op4(spark, str(tmp_path)).collect()}, chat.PartVisitor.text
+    said = hashlib.sha256(b"user\n<|end|>\nassistant\n\n").hexdigest()
+    assert set(plain) == {-1, 1, 2} and plain[1][1:4] == (2, said, 0)
+    monkeypatch.setattr(chat.PartVisitor, "text", lambda self, part, number: (F.concat(F.lit("+"), escaped(self, part, number)[0]), F.lit(0).cast("long")))
+    marked = {r["conv_id"]: r["formatted_chars"] for r in chat.op4(spark, str(tmp_path)).collect()}
+    assert marked == {i: r[-1] + r[1] for i, r in plain.items()}  # a character more a turn
+
+
 def test_mix_meets_its_weights(spark):
     rows = [(i, f"s{min(i % 30, 2)}", prose(20)) for i in range(3000)] + [(9000, None, None), (9001, "s0", "")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
