@@ -2,9 +2,10 @@
 
 A document's set holds 64-bit hashes of its distinct word shingles. `TREES` independent trees branch the documents: at a node, two
 of the tree's minwise coordinates are chosen by the node's own hash, and a document goes to one child for each, named by its
-minwise token there. Two documents of similarity s share a child with probability s for each choice, so after d levels a tree
-still holds the pair together with probability p(d), p(0) = 1, p(d+1) = 1 - (1 - s p(d))^2: 0.94 at s = 0.8 and d = 3. Four trees
-miss one pair in about 70,000 at the threshold itself, and fewer above it.
+minwise token there. The nodes of a tree share its POOL coordinates, so what counts is how many of those agree: given k of POOL, a node's
+two choices agree in a of two with the hypergeometric probability h(a), and the tree still holds the pair together after d levels with
+probability p(d), p(0) = 1, p(d+1) = 1 - sum of h(a) (1 - p(d))^a; the mean over k, binomial in the similarity, is the tree's. Five trees
+miss one pair in about 409,000 at the threshold itself if it is compared at depth 3, 234,000 at depth 4 and 164,000 at depth 5, and fewer above it.
 
 First each large node compares its members with two pivots (stars: as many pairs as members, never all pairs); then, level by level,
 small nodes are compared exhaustively and large ones branch again, down to LAST_DEPTH. Members of nodes that are large even then
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import release, small, table, written
 
-TREES, POOL, SKETCH, FIRST_DEPTH, LAST_DEPTH = 4, 8, 128, 3, 5
+TREES, POOL, SKETCH, FIRST_DEPTH, LAST_DEPTH = 5, 8, 128, 3, 5
 SMALL_NODE, FAN = 16, 256
 #: Shingles in fewer documents of the rest than this are all counted as rare.
 COMMON = 32

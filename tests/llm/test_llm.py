@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with nulls, blanks, ties, repeats and clashing names."""
 
 import hashlib
+import math
 import random
 import re
 import uuid
@@ -106,6 +107,18 @@ def test_the_rest_alone_finds_every_link(spark, monkeypatch, size):
     assert got.component_id.to_dict() == dict(enumerate(root)) and 1 < len(set(root)) < len(made)
 
 
+@pytest.mark.parametrize("depth", range(near_dedup.FIRST_DEPTH, near_dedup.LAST_DEPTH + 1))
+def test_the_trees_hold_the_stated_recall(depth):
+    def miss(agree):  # given how many coordinates of the tree's pool agree, which all its nodes share
+        p = 1.0
+        for _ in range(depth):
+            p = 1 - sum(math.comb(agree, a) * math.comb(near_dedup.POOL - agree, 2 - a) / math.comb(near_dedup.POOL, 2) * (1 - p) ** a for a in range(3))
+        return 1 - p
+
+    tree = sum(math.comb(near_dedup.POOL, k) * 0.8**k * 0.2 ** (near_dedup.POOL - k) * miss(k) for k in range(near_dedup.POOL + 1))
+    assert tree**near_dedup.TREES < 1 / 70_000
+
+
 def test_no_links_without_rows_and_null_ids_stay(spark, docs):
     assert near_dedup.linked(empty(docs)).count() == 0
     rows = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (1, "a b c"), (1, "d e f"), (2, "d e f")], "doc_id long, text string")
