@@ -55,15 +55,54 @@ def records(units: DataFrame) -> DataFrame:
     return units.withColumn("code", F.explode(codes()))
 
 
+def _glob(pattern: Column) -> Column:
+    """Regular expression of a case-sensitive glob given as a Column; * crosses slashes, a [ that is not closed is itself."""
+    plain = lambda x: F.regexp_replace(x, r"([^\p{L}\p{N}])", r"\\$1")
+    inner = lambda x: F.regexp_replace(F.regexp_replace(x, r"^\[!?|\]$", ""), r"([\\\[\]^&])", r"\\$1")
+    held = lambda x: F.concat(F.when(F.startswith(x, F.lit("[!")), F.lit("[^")).otherwise(F.lit("[")), inner(x), F.lit("]"))
+    one = lambda x: F.when(x == "*", F.lit(".*")).when(x == "?", F.lit(".")).when(F.length(x) > 1, held(x)).otherwise(plain(x))
+    pieces = F.regexp_extract_all(pattern, F.lit(r"(?s)\[!?[^!][^\]]*\]|."), F.lit(0))
+    return F.concat(F.lit(r"(?s)\A"), F.array_join(F.transform(pieces, one), ""), F.lit(r"\z"))
+
+
+def _holds(mode: Column, source: Column, form: Column) -> Column:
+    """Whether a source holds a form. Words go by lower case, as in the SQL of the queries; the other modes by the very characters."""
+    whole = F.concat(F.lit(r"(?U)(?<!\w)"), F.regexp_replace(F.lower(form), r"(?U)([^\w])", r"\\$1"), F.lit(r"(?!\w)"))
+    return F.when(mode == "exact", source == form).when(mode == "substring", F.contains(source, form)).otherwise(F.rlike(F.lower(source), whole))
+
+
 def term_violations(units: DataFrame, terms: DataFrame) -> DataFrame:
-    """Units whose source holds a term as a word while the translation lacks its target.
+    """Units whose source holds a term, or one of its variants, while the translation lacks its target; one row a unit and term.
 
-    terms: source, target. Sources are cut into words and met by an equi-join, so the work is the number of words, not units times terms.
+    terms: source, target, and, where they differ from these, match_mode (word), variants (none), scope and exclude_scope (globs of
+    relative_path, none), status (reviewed: terms of any other are not held). Sources are cut into words and met by an equi-join on the first
+    word of a form, exact forms on the whole source, so the work is the number of words, not units times terms; only substrings
+    and forms without a word are held against every source.
     """
+    given = lambda c, other: F.col(c) if c in terms.columns else other
+    none = F.lit(None)
+    mode = F.coalesce(given("match_mode", none).cast("string"), F.lit("word"))
+    wrong = F.raise_error(F.concat(F.lit("unsupported glossary match_mode: "), mode)).cast("string")
+    forms = F.filter(F.concat(F.array("source"), F.coalesce(given("variants", none).cast("array<string>"), F.array().cast("array<string>"))), lambda x: x.isNotNull() & (x != ""))
+    known = terms.where(given("status", F.lit("reviewed")) == "reviewed").select(
+        F.col("source").alias("term"), "target", F.when(mode.isin("exact", "word", "substring"), mode).otherwise(wrong).alias("_mode"), forms.alias("_forms"),
+        given("scope", none).cast("string").alias("_in"), F.coalesce(given("exclude_scope", none).cast("array<string>"), F.array().cast("array<string>")).alias("_out"),
+    )
+    each_form = known.select("*", F.posexplode("_forms").alias("_i", "_form"))
+    key = F.when(F.col("_mode") == "exact", F.col("_form")).when(F.col("_mode") == "word", F.regexp_extract(F.lower("_form"), r"(?U)\w+", 0)).otherwise("")
+    keyed = each_form.withColumn("_key", key)
     pieces = F.array_distinct(F.split(F.lower("source_text"), r"(?U)[^\w]+"))
-    each = units.withColumn("_w", F.explode(pieces))
-    met = each.join(terms.select(F.lower("source").alias("_w"), F.col("source").alias("term"), "target"), "_w")
-    return met.where(~F.contains(F.coalesce("translation", F.lit("")), F.col("target"))).drop("_w")
+    words = units.withColumn("_w", F.explode(pieces)).join(keyed.where("_mode = 'word' and _key <> ''"), F.col("_w") == F.col("_key")).drop("_w")
+    exact = units.join(keyed.where("_mode = 'exact'"), F.col("source_text") == F.col("_key"))
+    rest = units.join(keyed.where("_key = ''"), _holds(F.col("_mode"), F.col("source_text"), F.col("_form")))
+    # of the forms that a source holds the first one counts
+    earlier = F.exists(F.slice("_forms", 1, F.col("_i")), lambda f: _holds(F.col("_mode"), F.col("source_text"), f))
+    met = words.unionByName(exact).unionByName(rest).where(_holds(F.col("_mode"), F.col("source_text"), F.col("_form")) & ~earlier)
+    if "scope" in terms.columns or "exclude_scope" in terms.columns:
+        on = lambda g: F.rlike(F.col("relative_path"), _glob(g))
+        met = met.where((F.coalesce("_in", F.lit("")) == "") | on(F.col("_in"))).where(~F.exists("_out", on))
+    missing = ~F.contains(F.coalesce("translation", F.lit("")), F.col("target"))
+    return met.where(missing).select(*units.columns, "term", "target")
 
 
 def debt_key(identity: Column, code: Column, details: Column) -> Column:

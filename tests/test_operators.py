@@ -61,3 +61,19 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     query = stream_ledger(spark, str(tmp_path / "log")).writeStream.outputMode("complete").format("memory").queryName("ledger_twin").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(map(tuple, spark.table("ledger_twin").collect())) == sorted(map(tuple, events.ledger(log).collect()))
+
+
+def test_terms_of_many_words_modes_variants_and_scopes(spark):
+    made = "source string, target string, match_mode string, variants array<string>, scope string, exclude_scope array<string>, status string"
+    terms = spark.createDataFrame([
+        ("battle pass", "BP", "word", None, None, None, "reviewed"), ("KV-1", "KV", None, ["KV 1", "Klim"], None, None, "reviewed"), ("C++", "CPP", "word", [], None, None, "reviewed"),
+        ("gold", "AU", "substring", None, None, None, "reviewed"), ("Yes", "Y", "exact", None, None, None, "reviewed"), ("silver", "AG", "word", None, "shop/*.po", ["*/rank[!x].po"], "reviewed"),
+        ("tank", "TK", "word", None, None, None, "candidate"), ("%", "PCT", "word", None, None, None, "reviewed"),
+    ], made)
+    units = spark.createDataFrame([
+        (1, "Get the battle pass!", "x", "a"), (2, "battle bypass, pass battle", "x", "a"), (3, "a KV-1 or KV 1, Klim", "x", "a"), (4, "KV-12", "x", "a"), (5, "in C++ now", None, "a"),
+        (6, "marigolds", "x", "a"), (7, "Yes", "x", "a"), (8, "Yes sir", "x", "a"), (9, "silver", "x", "shop/a.po"), (10, "silver", "x", "shop/rank1.po"), (11, "silver", "x", "b/a.po"),
+        (12, "tank", "x", "a"), (13, "battle pass", "the BP", "a"), (14, "5 % off", "x", "a"), (15, "silver", "x", "shop/rankx.po"), (16, None, "x", "a"),
+    ], "k long, source_text string, translation string, relative_path string")
+    got = sorted((r["k"], r["term"]) for r in review.term_violations(units, terms).collect())
+    assert got == [(1, "battle pass"), (3, "KV-1"), (5, "C++"), (6, "gold"), (7, "Yes"), (9, "silver"), (14, "%"), (15, "silver")]
