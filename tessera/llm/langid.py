@@ -6,8 +6,8 @@ decoded to the language whose codeword has the least total loss over the bits, e
 accuracy, so a weak bit counts less. The score is the share of that language in a softmax over minus the losses, and a text whose
 runner-up comes close is flagged as ambiguous.
 
-Only fitting uses a sample: at most PER_LANGUAGE documents of each of the MAX_LANGUAGES most frequent languages, the first in the
-order of a hash of doc_id. Every document is predicted from its whole text.
+Only fitting uses a sample: at most PER_LANGUAGE documents of each language, fewer where the languages are so many that this would pass
+MAX_SAMPLE (but one at least), the first in the order of a hash of doc_id. Every language that occurs is fitted. Every document is predicted from its whole text.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from .common import table, written
 from .toxicity import _TABLE, remainder, sigmoid
 
-WIDTH, PER_LANGUAGE, MAX_LANGUAGES, CODE_TRIES = 2048, 500, 128, 50
+WIDTH, PER_LANGUAGE, MAX_SAMPLE, CODE_TRIES = 2048, 500, 64_000, 50
 STEPS, RATE, L2, CLOSE = 300, 0.05, 1e-4, 0.15
 UNKNOWN = "und"
 CHUNK = 1 << 20
@@ -52,7 +52,7 @@ def codewords(n: int) -> np.ndarray:
         return np.array(columns, float).T
     draw, bits = np.random.default_rng(7), math.ceil(10 * math.log2(n))
     tries = [draw.choice([-1.0, 1.0], (n, bits)) for _ in range(CODE_TRIES)]
-    return max(tries, key=lambda c: min((c[i] != c[j]).sum() for i, j in combinations(range(n), 2)))
+    return max(tries, key=lambda c: bits - (c @ c.T - 2 * bits * np.eye(n)).max())  # twice the least distance
 
 
 class Model:
@@ -94,16 +94,20 @@ def _profiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["lang"], "x": [profile(t).astype(np.float32).tobytes() for t in batch["text"]]})
 
 
+def rows_a_language(languages: int) -> int:
+    return max(1, min(PER_LANGUAGE, MAX_SAMPLE // languages))
+
+
 def fit(docs: DataFrame) -> Model | None:
     """Train on docs (doc_id, text, lang); None if no row has both a language and a text."""
     known = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", "text")
-    names = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    if not names:
+    n = known.select("lang").distinct().count()
+    if not n:
         return None
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    first = known.where(F.col("lang").isin(names)).select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= PER_LANGUAGE)
+    first = known.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows_a_language(n))
     first = written(first.drop("_n").distinct())
-    # bounded by PER_LANGUAGE times MAX_LANGUAGES, of fixed width each
+    # bounded by MAX_SAMPLE, or by the languages if they are more, of fixed width each
     rows = known.join(F.broadcast(first), ["doc_id", "lang"]).select("doc_id", "lang", "text").mapInPandas(_profiled, "doc_id long, lang string, x binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], bytes(r["x"])))
     languages = sorted({r["lang"] for r in rows})

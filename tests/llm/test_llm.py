@@ -255,6 +255,17 @@ def test_languages_held_out(spark):
     assert (langid.predict(docs, None).toPandas().lang_pred == "und").all()
 
 
+def test_every_language_is_fitted(spark):
+    made = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(140)]
+    rows = [(3 * i + j, " ".join([w, w[::-1]] * (5 + j)), f"l{i:03}") for i, w in enumerate(made) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.languages == [f"l{i:03}" for i in range(140)]
+    got = langid.predict(docs, model).toPandas().set_index("doc_id").lang_pred
+    assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.95
+    assert (langid.rows_a_language(4), langid.rows_a_language(128), langid.rows_a_language(200), langid.rows_a_language(10**6)) == (500, 500, 320, 1)
+
+
 def test_codewords_are_apart():
     for n in (2, 4, 5, 9):
         code = langid.codewords(n)
