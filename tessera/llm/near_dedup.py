@@ -8,13 +8,13 @@ probability p(d), p(0) = 1, p(d+1) = 1 - sum of h(a) (1 - p(d))^a; the mean over
 miss one pair in about 409,000 at the threshold itself if it is compared at depth 3, 234,000 at depth 4 and 164,000 at depth 5, and fewer above it.
 
 First each large node compares its members with two pivots (stars: as many pairs as members, never all pairs); then, level by level,
-small nodes are compared exhaustively and large ones branch again, down to LAST_DEPTH. Members of nodes that are large even then
-(dense groups of neighbours below the threshold) meet by an exact prefix join: two sets of the threshold's similarity share one of
-each set's rarest shingles, as many as they may differ in and one more. A sketch of 128 two-bit minwise values throws out
+small nodes are compared exhaustively and large ones branch again, down to LAST_DEPTH. What is large even then is a dense group of
+neighbours below the threshold, which the tokens that its members share would never part: from there on each member branches by the
+rarest tokens of its difference from the node's pivot, and meets those that differ from it alike; no pair of such a node is lost. A sketch of 128 two-bit minwise values throws out
 dissimilar pairs before they are written; what remains is confirmed on the full sets, in tasks keyed by one document of the pair and
 salted where it has many partners. Confirmed links merge components (large-star / small-star, as joins), and a node whose
 members are all in one component needs no more comparing: so a huge group of near copies collapses after its first star.
-A pair is missed only if no tree keeps it together down to the node where it would be compared, or its sketch is 4.4 deviations off.
+A pair is missed only if no tree keeps it together down to the node where it would be compared, or its sketch is 4.4 deviations off (in small nodes).
 Texts with equal sets are one representative throughout.
 
 Defined cases: null, empty or blank texts have the empty set, are linked with nothing and keep themselves; rows that share a
@@ -35,14 +35,12 @@ from .common import release, small, table, written
 
 TREES, POOL, SKETCH, FIRST_DEPTH, LAST_DEPTH = 5, 8, 128, 3, 5
 SMALL_NODE, FAN = 16, 256
-#: Shingles in fewer documents of the rest than this are all counted as rare.
+#: Tokens in fewer differences of a node than this are all counted as rare.
 COMMON = 32
 #: A sketch passes if its agreement is at most so many standard deviations below that of the threshold: of 128 two-bit minwise
 #: values, 108.8 +- 4.0 agree at similarity 0.8, and 91 must.
 SIGMAS = 4.4
 SKETCHES = [f"sketch{i}" for i in range(SKETCH // 32)]
-#: The rest is held against longer sketches, which also throw out similarities down to 0.1 below the threshold.
-WIDE = [f"wide{i}" for i in range(16)]
 _MIX, _ROT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -146,8 +144,8 @@ def verify(batches: Iterator[pd.DataFrame], size: int, percent: int) -> Iterator
         yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b), distinct and written, whose sets are similar enough; texts: id, text."""
+def _beside(pairs: DataFrame, texts: DataFrame, work: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], made: str) -> DataFrame:
+    """work over the pairs (a, b), distinct and written: a run for each a, salted where it has many partners, its own text first; texts: id, text."""
     n = pairs.count()
     degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("_salts"))
     spread = pairs.join(degree, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("_salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("other"))
@@ -156,8 +154,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     asked = written(asked)
     wanted = texts.join(small(asked.select(F.col("other").alias("id")).distinct(), 2 * n, 16), "id", "left_semi")
     held = asked.join(wanted, asked["other"] == wanted["id"]).select("hub", "salt", "role", "other", "text")
-    ready = held.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
-    return ready.mapInPandas(lambda b: verify(b, size, percent), "a long, b long")
+    return held.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role").mapInPandas(work, made)
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are similar enough."""
+    return _beside(pairs, texts, lambda b: verify(b, size, percent), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -199,10 +201,11 @@ def _branch(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(_children(F.col("node"), F.col("pool1"), F.col("pool2"))).alias("node"), *kept)
 
 
-def _alike(a: Callable[[str], Column], b: Callable[[str], Column], percent: int, names: list[str] = SKETCHES) -> Column:
+def _alike(a: Callable[[str], Column], b: Callable[[str], Column], percent: int) -> Column:
     """Whether two sketches agree in enough values; a and b give the column of each part."""
     differ = lambda x: F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return sum((differ(a(c).bitwiseXOR(b(c))) for c in names[1:]), differ(a(names[0]).bitwiseXOR(b(names[0])))) <= 32 * len(names) - sketch_least(32 * len(names), percent)
+    first, *rest = [differ(a(c).bitwiseXOR(b(c))) for c in SKETCHES]
+    return sum(rest, first) <= SKETCH - sketch_least(SKETCH, percent)
 
 
 def _star(rows: DataFrame, order: Column, percent: int) -> DataFrame:
@@ -230,55 +233,77 @@ def _exhaustive(rows: DataFrame, percent: int) -> DataFrame:
     return x.join(y, on).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
 
 
-def _token_sets(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    """id, text -> rep, key (of the set), tokens, WIDE."""
-    seen, a = Hashes(), _coefficients(20240301, 32 * len(WIDE))
+def differences(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """Rows as `verify` takes them: yields a, b, node (hash of the hub's set), key (of the other's), n, m (their sizes) and the tokens that only one of them holds."""
+    seen, hub, own = Hashes(), None, []
     for batch in batches:
-        for start in range(0, len(batch), 256):
-            part = batch.iloc[start : start + 256]
-            sets = [shingles(t, size, seen) for t in part["text"]]
-            wide = _two_bits(_minima(sets, a))
-            keys = [_signed(xxhash.xxh3_64_intdigest(s.tobytes())) for s in sets]
-            yield pd.DataFrame({"rep": part["id"].to_numpy(), "key": keys, "tokens": [s.view(np.int64) for s in sets], **{c: wide[:, i] for i, c in enumerate(WIDE)}})
+        found: list[tuple] = []
+        for h, salt, role, other, text in zip(batch["hub"], batch["salt"], batch["role"], batch["other"], batch["text"], strict=True):
+            mine = shingles(text, size, seen)
+            key = _signed(xxhash.xxh3_64_intdigest(mine.tobytes()))
+            if role == 0:
+                hub, own = (h, salt), [*own, (key, mine)] if (h, salt) == hub else [(key, mine)]
+            elif (h, salt) != hub:
+                raise ValueError(f"no text for document {h}")
+            else:
+                found += [(h, other, node, key, len(mine), len(s), np.setxor1d(s, mine, assume_unique=True).view(np.int64)) for node, s in own]
+        yield pd.DataFrame(found, columns=["a", "b", "node", "key", "n", "m", "diff"])
 
 
-def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(rep, key, n, pos, node, short): the rarest tokens of each set, n - ceil(n * percent / 100) + 1 of its n; the order is the same for all.
+def _prefixed(held: DataFrame) -> DataFrame:
+    """held (node, rep, key, diff, take, ...) -> a row for each of the `take` rarest tokens of diff: token, pos; the order is the same in all of a node."""
+    kept = [c for c in held.columns if c not in ("diff", "take")]
+    each = held.select(*kept, "take", F.explode("diff").alias("token"))
+    common = written(each.groupBy("node", "token").agg(F.count("*").alias("_n")).where(F.col("_n") >= COMMON))
+    marked = each.join(small(common, common.count(), 40), ["node", "token"], "left")
+    ranked = marked.groupBy(*kept, "take").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "token"))).alias("_o"))
+    return ranked.select(*kept, F.posexplode(F.slice("_o", F.lit(1), F.col("take"))).alias("_p", "_t")).select(*kept, "_t.token", (F.col("_p") + 1).alias("pos"))
 
-    The first token in this order that two linked sets share is that early in both, and in the smaller set
-    even among the first n - ceil(2 * n * percent / (100 + percent)) + 1, which `short` marks.
-    """
-    each = sets.select("rep", "key", F.explode("tokens").alias("node"))
-    common = written(each.groupBy("node").agg(F.count("*").alias("_n")).where(F.col("_n") >= COMMON))
-    ranked = each.join(small(common, common.count(), 32), "node", "left").groupBy("rep", "key").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "node"))).alias("_o"))
-    shared = lambda a, b: F.floor((F.size("_o") * a + b - 1) / b).cast("int")
-    cut = ranked.select("rep", "key", F.size("_o").alias("n"), (F.size("_o") - shared(2 * percent, 100 + percent) + 1).alias("_s"), F.posexplode(F.slice("_o", 1, F.size("_o") - shared(percent, 100) + 1)).alias("_p", "_t"))
-    return cut.select("rep", "key", "n", (F.col("_p") + 1).alias("pos"), F.col("_t.node").alias("node"), (F.col("_p") < F.col("_s")).alias("short"))
+
+def _met(x: DataFrame, y: DataFrame, on: Column, shared: Callable[[Column, Column], Column]) -> DataFrame:
+    """Pairs of rows of two labels that meet at a token so early that enough tokens can follow; `on` is a further condition, y's columns end in _2."""
+    other = y.select(*[F.col(c).alias(f"{c}_2") for c in y.columns])
+    need = shared(F.col("slack"), F.col("slack_2"))
+    early = lambda e: F.col(f"pos{e}") <= F.col(f"d{e}") - need + 1
+    room = F.least("pos", "pos_2") + F.least(F.col("d") - F.col("pos"), F.col("d_2") - F.col("pos_2"))
+    both = x.join(other, (F.col("node") == F.col("node_2")) & (F.col("token") == F.col("token_2")) & (F.col("label") != F.col("label_2")) & on & early("") & early("_2") & (room >= need))
+    return both.select("node", "rep", "key", "rep_2", "key_2")
 
 
-def _rest(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs of different labels among all members of rows whose prefixes meet: none that reaches the threshold is left out.
+def _settled(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) among the members of the nodes of rows, by branching on their differences from the node's pivot; none is left out.
 
-    Sets of n and m tokens that share the ones at places i and j share min(i, j) + min(n - i, m - j) at most. The members of a token's commonest label do not meet each
-    other, so a group that is one component costs no square.
+    With D the tokens that only one of a member and the pivot holds, two members x and y differ in |Dx| + |Dy| - 2 |Dx and Dy| tokens. So
+    members close to the pivot are linked with it, and two that are not are linked only if Dx and Dy share many tokens, of which one is among
+    the rarest of either. What members have in common with the pivot no longer brings them together: a dense group costs its members, not their square.
     """
-    known = written(rows.groupBy("rep").agg(F.min("label").alias("label")))
-    n = known.count()
-    wanted = texts.join(small(known.select(F.col("rep").alias("id")), n, 16), "id", "left_semi")
-    made = "rep long, key long, tokens array<long>, " + ", ".join(f"{c} long" for c in WIDE)
-    sets = written(wanted.mapInPandas(lambda b: _token_sets(b, size), made).dropDuplicates(["rep", "key"]))
-    held = _nodes(_prefixes(sets, percent).join(small(known, n, 24), "rep")).drop("size")
-    held = written(held.join(small(sets.select("rep", "key", *WIDE), sets.count(), 160), ["rep", "key"]))
-    top = held.groupBy("node", "label").agg(F.count("*").alias("_n")).groupBy("node").agg(F.max_by("label", F.struct("_n", "label")).alias("top"))
-    x = held.drop("key").join(top, "node").where("label <> top")
-    y = held.select(*[F.col(c).alias(f"{c}_2") for c in ("node", "rep", "label", "n", "pos", "short", *WIDE)])
-    room = F.least("pos", "pos_2") + F.least(F.col("n") - F.col("pos"), F.col("n_2") - F.col("pos_2"))
-    on = (
-        (x["node"] == y["node_2"]) & (F.col("label") != F.col("label_2")) & ((F.col("label_2") == F.col("top")) | (F.col("rep") < F.col("rep_2")))
-        & F.when(F.col("n") <= F.col("n_2"), F.col("short")).otherwise(F.col("short_2")) & (room * (100 + percent) >= (F.col("n") + F.col("n_2")) * percent)
-        & _alike(F.col, lambda c: F.col(f"{c}_2"), percent, WIDE)
-    )
-    return x.join(y, on).select(F.least("rep", "rep_2").alias("a"), F.greatest("rep", "rep_2").alias("b"))
+    central = rows.groupBy("rep").agg(F.sum("size").alias("_c"))
+    pivots = rows.join(central, "rep").groupBy("node").agg(F.min_by(F.struct("rep", "label"), F.struct(-F.col("_c"), F.col("rep"))).alias("p"))
+    asked = written(rows.join(pivots, "node").select(F.col("p.rep").alias("a"), F.col("rep").alias("b"), "label", F.col("p.label").alias("top")).distinct())
+    made = "a long, b long, node long, key long, n long, m long, diff array<long>"
+    diffs = written(_beside(asked.select("a", "b"), texts, lambda b: differences(b, size), made).dropDuplicates(["node", "b", "key"]))
+    slack = F.size("diff").cast("long") * (100 + percent) - F.col("n") * (100 - percent)
+    near = slack <= F.col("m") * (100 - percent)
+    held = diffs.join(small(asked, asked.count(), 40), ["a", "b"]).withColumn("slack", slack).withColumn("core", near | (F.col("label") == F.col("top")))
+    direct = held.where(near & (F.col("label") != F.col("top"))).select("a", "b")
+    # the least number of tokens that differences of these slacks must share
+    shared = lambda s, t: F.greatest(F.ceil((s + t) / F.lit(2 * (100 + percent))), F.lit(1)).cast("int")
+    low = held.where(~F.col("core")).groupBy("node").agg(F.min("slack").alias("low"))
+    sized = held.join(low, "node").select("node", F.col("b").alias("rep"), "key", "label", "core", "slack", "low", F.size("diff").alias("d"), (-F.col("m") * (100 - percent)).alias("least"), "diff")
+    thin = F.col("d") - shared(F.col("slack"), F.col("low")) + 1
+    wide = F.when(F.col("core"), thin).otherwise(F.col("d") - shared(F.col("slack"), F.col("least")) + 1)
+    taken = written(_prefixed(sized.withColumn("take", wide).where("take > 0").drop("least")))
+    outer, core = taken.where(~F.col("core")), taken.where("core")
+    narrow = outer.where(F.col("pos") <= thin)
+    # members of a token's commonest label do not meet each other
+    most = narrow.groupBy("node", "token", "label").agg(F.count("*").alias("_n")).groupBy("node", "token").agg(F.max_by("label", F.struct("_n", "label")).alias("top"))
+    pairs = _met(narrow.join(most, ["node", "token"]).where("label <> top"), narrow, (F.col("label_2") == F.col("top")) | (F.col("rep") < F.col("rep_2")), shared)
+    pairs = written(pairs.unionByName(_met(outer, core, F.lit(True), shared)).distinct())
+    side = lambda e: diffs.select("node", F.col("b").alias(f"rep{e}"), F.col("key").alias(f"key{e}"), F.col("n").alias(f"n{e}"), F.col("diff").alias(f"diff{e}"))
+    full = pairs.join(side(""), ["node", "rep", "key"]).join(side("_2"), ["node", "rep_2", "key_2"])
+    apart = F.size("diff") + F.size("diff_2") - 2 * F.size(F.array_intersect("diff", "diff_2"))
+    found = full.where(apart * (100 + percent) <= (F.col("n") + F.col("n_2")) * (100 - percent)).select(F.col("rep").alias("a"), F.col("rep_2").alias("b"))
+    return direct.unionByName(found).distinct()
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
@@ -338,11 +363,11 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         rows = confirm(_exhaustive(rows.where(F.col("size") <= SMALL_NODE), percent), rows.where(F.col("size") > SMALL_NODE))
         if rows.isEmpty():
             break
-        rows = rows.drop("size")
         if depth < LAST_DEPTH:
-            rows = _branch(rows)
+            rows = _branch(rows.drop("size"))
         else:
-            confirm(_rest(rows, texts, size, percent))
+            settled = written(_settled(rows, texts, size, percent))
+            links = settled if links is None else links.unionByName(settled)
     ties = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     joined = components(ties if links is None else ties.unionByName(links))
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "key1", "key2").join(classes, ["key1", "key2"], "left")
