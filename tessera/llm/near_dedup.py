@@ -1,20 +1,20 @@
 """Near-duplicate detection by a chosen-path set similarity join.
 
-A document's set holds 64-bit hashes of its distinct word shingles. `TREES` independent trees branch the documents: at a node, two
-of the tree's minwise coordinates are chosen by the node's own hash, and a document goes to one child for each, named by its
-minwise token there. The nodes of a tree share its POOL coordinates, so what counts is how many of those agree: given k of POOL, a node's
-two choices agree in a of two with the hypergeometric probability h(a), and the tree still holds the pair together after d levels with
-probability p(d), p(0) = 1, p(d+1) = 1 - sum of h(a) (1 - p(d))^a; the mean over k, binomial in the similarity, is the tree's. Five trees
-miss one pair in about 409,000 at the threshold itself if it is compared at depth 3, 234,000 at depth 4 and 164,000 at depth 5, and fewer above it.
+A document's set holds 64-bit hashes of its distinct word shingles. `TREES` independent trees branch the documents: every level of a tree has
+CHOICE minwise coordinates of its own, of which the node's own hash chooses two, and a document goes to one child for each, named by its
+minwise token there. So no coordinate comes twice on a path, and a node of depth d holds what agrees in d of them. Five trees miss one pair in about
+520,000 at the threshold itself if it is compared at depth 3, 340,000 at depth 4 and 170,000 at depth 8 (`tests/llm` counts it, shared coordinates included), and fewer above it.
 
 First each large node compares its members with two pivots (stars: as many pairs as members, never all pairs); then, level by level,
-small nodes are compared exhaustively and large ones branch again, down to LAST_DEPTH. What is large even then is a dense group of
-neighbours below the threshold, which the tokens that its members share would never part: from there on each member branches by the
-rarest tokens of its difference from the node's pivot, and meets those that differ from it alike; no pair of such a node is lost. A sketch of 128 two-bit minwise values throws out
+small nodes are compared exhaustively and large ones branch again. After every LEVELS levels the large nodes are searched for dense members, those
+with a similarity of HOME or more to the node's pivot: tokens that they all share would never part them, so they branch by the rarest tokens of their
+difference from the pivot instead, meet all members that differ from it alike, and leave the node. What is left has little in common and goes on with fresh
+coordinates; at LAST_DEPTH all members count as dense. No pair of a node is lost on the way, whatever its size.
+A sketch of 128 two-bit minwise values throws out
 dissimilar pairs before they are written; what remains is confirmed on the full sets, in tasks keyed by one document of the pair and
 salted where it has many partners. Confirmed links merge components (large-star / small-star, as joins), and a node whose
 members are all in one component needs no more comparing: so a huge group of near copies collapses after its first star.
-A pair is missed only if no tree keeps it together down to the node where it would be compared, or its sketch is 4.4 deviations off (in small nodes).
+A pair is missed only if no tree keeps it together down to the node where it would be compared, or a sketch is 4.4 deviations off.
 Texts with equal sets are one representative throughout.
 
 Defined cases: null, empty or blank texts have the empty set, are linked with nothing and keep themselves; rows that share a
@@ -33,8 +33,11 @@ from pyspark.sql import functions as F
 
 from .common import release, small, table, written
 
-TREES, POOL, SKETCH, FIRST_DEPTH, LAST_DEPTH = 5, 8, 128, 3, 5
-SMALL_NODE, FAN = 16, 256
+TREES, LEVELS, CHOICE, SKETCH, FIRST_DEPTH, LAST_DEPTH = 5, 4, 4, 128, 3, 16
+#: 16-bit tokens of a tree, four to a long, for LEVELS levels.
+POOL = LEVELS * CHOICE
+POOLS = [f"pool{i}" for i in range(POOL // 4)]
+SMALL_NODE, FAN, HOME = 16, 256, 60
 #: Tokens in fewer differences of a node than this are all counted as rare.
 COMMON = 32
 #: A sketch passes if its agreement is at most so many standard deviations below that of the threshold: of 128 two-bit minwise
@@ -105,24 +108,39 @@ def sketch_least(values: int, percent: int) -> int:
     return int(values * p - SIGMAS * (values * p * (1 - p)) ** 0.5)
 
 
+def _pools(mins: np.ndarray) -> np.ndarray:
+    """(documents, TREES * len(POOLS)) of longs with four tokens each."""
+    tokens = (mins & np.uint64(0xFFFF)).reshape(len(mins), TREES * len(POOLS), 4)
+    return sum(tokens[:, :, i] << np.uint64(16 * i) for i in range(4)).view(np.int64)
+
+
 def signatures(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    """doc_id, text -> doc_id, n, key1, key2 (hash of the set), pools (2 longs a tree), SKETCHES."""
+    """doc_id, text -> doc_id, n, key1, key2 (hash of the set), pools, SKETCHES."""
     seen, a = Hashes(), _coefficients(20240229, TREES * POOL + SKETCH)
     for batch in batches:
         for start in range(0, len(batch), 512):
             part = batch.iloc[start : start + 512]
             sets = [shingles(t, size, seen) for t in part["text"]]
             n, mins = [len(x) for x in sets], _minima(sets, a)
-            tokens = (mins[:, : TREES * POOL] & np.uint64(0xFFFF)).reshape(len(part), TREES * 2, POOL // 2)
-            pools = sum(tokens[:, :, i] << np.uint64(16 * i) for i in range(POOL // 2)).view(np.int64)
             sketch = _two_bits(mins[:, TREES * POOL :])
             keys = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
             yield pd.DataFrame({
                 "doc_id": part["doc_id"].to_numpy(), "n": n, "key1": [_signed(k >> 64) for k in keys], "key2": [_signed(k & (1 << 64) - 1) for k in keys],
-                "pools": list(pools), **{c: sketch[:, i] for i, c in enumerate(SKETCHES)},
+                "pools": list(_pools(mins[:, : TREES * POOL])), **{c: sketch[:, i] for i, c in enumerate(SKETCHES)},
             })
 
 
+def fresh(batches: Iterator[pd.DataFrame], size: int, turn: int) -> Iterator[pd.DataFrame]:
+    """id, text -> rep, key1 (of the set), pools: the coordinates of a later turn of LEVELS levels."""
+    seen, a = Hashes(), _coefficients(20240229 + turn, TREES * POOL)
+    for batch in batches:
+        for start in range(0, len(batch), 512):
+            part = batch.iloc[start : start + 512]
+            sets = [shingles(t, size, seen) for t in part["text"]]
+            keys = [_signed(xxhash.xxh3_128_intdigest(s.tobytes()) >> 64) for s in sets]
+            yield pd.DataFrame({"rep": part["id"].to_numpy(), "key1": keys, "pools": list(_pools(_minima(sets, a)))})
+
+
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
@@ -187,22 +205,27 @@ def _differ(x: DataFrame, y: DataFrame) -> bool:
     return digest(x) != digest(y)
 
 
-def _children(node: Column, pool1: Column, pool2: Column) -> Column:
-    """array<long>: the two children of a node for a document with these tokens."""
-    token = lambda i: F.when(i < POOL // 2, pool1).otherwise(pool2)
-    cut = lambda i: F.call_function("shiftrightunsigned", token(i), ((i % (POOL // 2)) * 16).cast("int")).bitwiseAND(F.lit(0xFFFF))
-    first = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(POOL))
-    second = F.pmod(first + 1 + F.pmod(F.xxhash64(node, F.lit(2)), F.lit(POOL - 1)), F.lit(POOL))
-    return F.array(*[F.xxhash64(node, i, cut(i)) for i in (first, second)])
+def _children(node: Column, level: int) -> Column:
+    """array<long>: the two children of a node of this level for a document with these tokens."""
+    at = [(level % LEVELS) * CHOICE + i for i in range(CHOICE)]
+    tokens = F.array(*[F.shiftrightunsigned(F.col(POOLS[i // 4]), 16 * (i % 4)).bitwiseAND(F.lit(0xFFFF)) for i in at])
+    first = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(CHOICE)).cast("int")
+    second = F.pmod(first + 1 + F.pmod(F.xxhash64(node, F.lit(2)), F.lit(CHOICE - 1)), F.lit(CHOICE)).cast("int")
+    return F.array(*[F.xxhash64(node, F.lit(level), i, F.get(tokens, i)) for i in (first, second)])
 
 
-def _branch(rows: DataFrame) -> DataFrame:
+def _branch(rows: DataFrame, level: int) -> DataFrame:
     kept = [c for c in rows.columns if c != "node"]
-    return rows.select(F.explode(_children(F.col("node"), F.col("pool1"), F.col("pool2"))).alias("node"), *kept)
+    return rows.select(F.explode(_children(F.col("node"), level)).alias("node"), *kept)
+
+
+def _of_tree(pools: Column) -> list[Column]:
+    """The POOLS of tree t out of those of all trees."""
+    return [F.get(pools, F.col("t") * len(POOLS) + i).alias(c) for i, c in enumerate(POOLS)]
 
 
 def _alike(a: Callable[[str], Column], b: Callable[[str], Column], percent: int) -> Column:
-    """Whether two sketches agree in enough values; a and b give the column of each part."""
+    """Whether two sketches agree in enough values for a similarity of percent; a and b give the column of each part."""
     differ = lambda x: F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
     first, *rest = [differ(a(c).bitwiseXOR(b(c))) for c in SKETCHES]
     return sum(rest, first) <= SKETCH - sketch_least(SKETCH, percent)
@@ -266,30 +289,39 @@ def _met(x: DataFrame, y: DataFrame, on: Column, shared: Callable[[Column, Colum
     need = shared(F.col("slack"), F.col("slack_2"))
     early = lambda e: F.col(f"pos{e}") <= F.col(f"d{e}") - need + 1
     room = F.least("pos", "pos_2") + F.least(F.col("d") - F.col("pos"), F.col("d_2") - F.col("pos_2"))
+    on = on & (F.col("dense") | F.col("dense_2"))
     both = x.join(other, (F.col("node") == F.col("node_2")) & (F.col("token") == F.col("token_2")) & (F.col("label") != F.col("label_2")) & on & early("") & early("_2") & (room >= need))
     return both.select("node", "rep", "key", "rep_2", "key_2")
 
 
-def _settled(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) among the members of the nodes of rows, by branching on their differences from the node's pivot; none is left out.
+def _settled(rows: DataFrame, texts: DataFrame, size: int, percent: int, home: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of the dense members of the nodes of rows, and the rows without those members.
 
-    With D the tokens that only one of a member and the pivot holds, two members x and y differ in |Dx| + |Dy| - 2 |Dx and Dy| tokens. So
-    members close to the pivot are linked with it, and two that are not are linked only if Dx and Dy share many tokens, of which one is among
-    the rarest of either. What members have in common with the pivot no longer brings them together: a dense group costs its members, not their square.
+    Dense is what has a similarity of `home` percent or more to the node's pivot; all that it may be linked with is then as similar to the pivot but for
+    what the threshold leaves, and is met whether or not it is dense itself. With D the tokens that only one of a member and the pivot holds,
+    x and y differ in |Dx| + |Dy| - 2 |Dx and Dy| tokens. So members close to the pivot are linked with it, and two that are not are linked only if
+    Dx and Dy share many tokens, of which one is among the rarest of either. What they have in common with the pivot
+    no longer brings them together: a dense group costs its members, not their square.
     """
     central = rows.groupBy("rep").agg(F.sum("size").alias("_c"))
-    pivots = rows.join(central, "rep").groupBy("node").agg(F.min_by(F.struct("rep", "label"), F.struct(-F.col("_c"), F.col("rep"))).alias("p"))
-    asked = written(rows.join(pivots, "node").select(F.col("p.rep").alias("a"), F.col("rep").alias("b"), "label", F.col("p.label").alias("top")).distinct())
+    pivots = rows.join(central, "rep").groupBy("node").agg(F.min_by(F.struct("rep", "which", "label", *SKETCHES), F.struct(-F.col("_c"), F.col("rep"))).alias("p"))
+    guest = max(0, home - (100 - percent))
+    met = rows.join(pivots, "node")
+    met = met.where(_alike(F.col, lambda c: F.col(f"p.{c}"), guest)) if guest else met
+    asked = written(met.select(F.col("p.rep").alias("a"), F.col("rep").alias("b"), "label", F.col("p.label").alias("top")).distinct())
     made = "a long, b long, node long, key long, n long, m long, diff array<long>"
-    diffs = written(_beside(asked.select("a", "b"), texts, lambda b: differences(b, size), made).dropDuplicates(["node", "b", "key"]))
+    diffs = _beside(asked.select("a", "b"), texts, lambda b: differences(b, size), made)
+    within = lambda p: F.size("diff") * (100 + p) <= (F.col("n") + F.col("m")) * (100 - p)
+    diffs = written(diffs.where(within(guest)).withColumn("dense", within(home)))
+    alone = diffs.dropDuplicates(["node", "b", "key"])
     slack = F.size("diff").cast("long") * (100 + percent) - F.col("n") * (100 - percent)
     near = slack <= F.col("m") * (100 - percent)
-    held = diffs.join(small(asked, asked.count(), 40), ["a", "b"]).withColumn("slack", slack).withColumn("core", near | (F.col("label") == F.col("top")))
+    held = alone.join(small(asked, asked.count(), 40), ["a", "b"]).withColumn("slack", slack).withColumn("core", near | (F.col("label") == F.col("top")))
     direct = held.where(near & (F.col("label") != F.col("top"))).select("a", "b")
     # the least number of tokens that differences of these slacks must share
     shared = lambda s, t: F.greatest(F.ceil((s + t) / F.lit(2 * (100 + percent))), F.lit(1)).cast("int")
     low = held.where(~F.col("core")).groupBy("node").agg(F.min("slack").alias("low"))
-    sized = held.join(low, "node").select("node", F.col("b").alias("rep"), "key", "label", "core", "slack", "low", F.size("diff").alias("d"), (-F.col("m") * (100 - percent)).alias("least"), "diff")
+    sized = held.join(low, "node").select("node", F.col("b").alias("rep"), "key", "label", "core", "dense", "slack", "low", F.size("diff").alias("d"), (-F.col("m") * (100 - percent)).alias("least"), "diff")
     thin = F.col("d") - shared(F.col("slack"), F.col("low")) + 1
     wide = F.when(F.col("core"), thin).otherwise(F.col("d") - shared(F.col("slack"), F.col("least")) + 1)
     taken = written(_prefixed(sized.withColumn("take", wide).where("take > 0").drop("least")))
@@ -299,11 +331,26 @@ def _settled(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     most = narrow.groupBy("node", "token", "label").agg(F.count("*").alias("_n")).groupBy("node", "token").agg(F.max_by("label", F.struct("_n", "label")).alias("top"))
     pairs = _met(narrow.join(most, ["node", "token"]).where("label <> top"), narrow, (F.col("label_2") == F.col("top")) | (F.col("rep") < F.col("rep_2")), shared)
     pairs = written(pairs.unionByName(_met(outer, core, F.lit(True), shared)).distinct())
-    side = lambda e: diffs.select("node", F.col("b").alias(f"rep{e}"), F.col("key").alias(f"key{e}"), F.col("n").alias(f"n{e}"), F.col("diff").alias(f"diff{e}"))
+    side = lambda e: alone.select("node", F.col("b").alias(f"rep{e}"), F.col("key").alias(f"key{e}"), F.col("n").alias(f"n{e}"), F.col("diff").alias(f"diff{e}"))
     full = pairs.join(side(""), ["node", "rep", "key"]).join(side("_2"), ["node", "rep_2", "key_2"])
     apart = F.size("diff") + F.size("diff_2") - 2 * F.size(F.array_intersect("diff", "diff_2"))
     found = full.where(apart * (100 + percent) <= (F.col("n") + F.col("n_2")) * (100 - percent)).select(F.col("rep").alias("a"), F.col("rep_2").alias("b"))
-    return direct.unionByName(found).distinct()
+    gone = diffs.where("dense").select(F.col("a").alias("_a"), F.col("b").alias("_b")).distinct()
+    # a doc_id with several sets stays: one of them being dense says nothing of the others
+    left = rows.join(pivots.select("node", F.when(F.col("p.which") == 0, F.col("p.rep")).alias("_p")), "node")
+    left = left.join(gone, (left["_p"] == gone["_a"]) & (left["rep"] == gone["_b"]) & (left["which"] == 0), "left_anti").drop("_p")
+    return direct.unionByName(found).distinct(), left
+
+
+def _renewed(rows: DataFrame, texts: DataFrame, size: int, turn: int) -> DataFrame:
+    """rows with the coordinates of a later turn."""
+    known = written(rows.select(F.col("rep").alias("id"), "which").distinct())
+    wanted = texts.join(small(known.select("id").distinct(), known.count(), 16), "id", "left_semi")
+    made = wanted.mapInPandas(lambda b: fresh(b, size, turn), "rep long, key1 long, pools array<long>")
+    # `which` is 0 but for the sets of a doc_id that has several
+    sets = made.select("rep", F.explode(F.array(F.lit(0), "key1")).alias("which"), "pools").join(small(known.withColumnRenamed("id", "rep"), known.count(), 24), ["rep", "which"], "left_semi")
+    one = written(sets.groupBy("rep", "which").agg(F.first("pools").alias("pools")))
+    return rows.drop(*POOLS).join(one, ["rep", "which"]).select("*", *_of_tree(F.col("pools"))).drop("pools")
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
@@ -323,36 +370,41 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     null_ids = docs.where("doc_id is null")
     filled = signed.where("n > 0")
     classes = written(filled.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep")))
-    # a doc_id with several rows may stand for several sets; they are linked through it
+    # a doc_id with several rows may stand for several sets; they are linked through it, and told apart by `which`
     members = filled.select("doc_id", "key1", "key2").join(classes, ["key1", "key2"]).select("doc_id", "rep")
+    several = written(filled.groupBy("doc_id").agg((F.min("key1") != F.max("key1")).alias("_s")).where("_s").select(F.col("doc_id").alias("rep"), "_s"))
     first = filled.join(classes.withColumnRenamed("rep", "doc_id"), ["key1", "key2", "doc_id"]).groupBy("key1", "key2").agg(
         F.min("doc_id").alias("rep"), F.min_by(F.struct("pools", *SKETCHES), "doc_id").alias("s")
-    )
-    tree = first.select("rep", F.xxhash64("key1", "key2").alias("_u"), F.posexplode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t", "_t"), "s")
-    rows = tree.select(
-        F.xxhash64(F.lit("tree"), F.col("t")).alias("node"), "rep", F.col("rep").alias("label"), F.get("s.pools", 2 * F.col("t")).alias("pool1"),
-        F.get("s.pools", 2 * F.col("t") + 1).alias("pool2"), *[F.col(f"s.{c}").alias(c) for c in SKETCHES],
     )
-    for _ in range(FIRST_DEPTH):
-        rows = _branch(rows)
+    first = first.join(small(several, several.count(), 24), "rep", "left")
+    first = written(first.select("rep", F.when(F.col("_s"), F.col("key1")).otherwise(F.lit(0)).alias("which"), "s.*"))
+    rows = first.select("rep", "which", "pools", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t"))
+    rows = rows.select(F.xxhash64(F.lit("tree"), F.col("t")).alias("node"), "rep", "which", "t", *_of_tree(F.col("pools")))
+    for level in range(FIRST_DEPTH):
+        rows = _branch(rows, level)
+    # what shares a node with another set is sought among bare ids: most nodes hold one
+    rows = _nodes(rows.select("node", "rep", "which", "t", F.col("rep").alias("label"))).drop("size")
+    rows = rows.join(first, ["rep", "which"]).select("node", "rep", "which", "t", "label", *_of_tree(F.col("pools")), *SKETCHES)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
     links = tried = None
 
-    def confirm(pairs: DataFrame, rows: DataFrame | None = None) -> DataFrame | None:
-        """Verify what has not been tried, and give rows the labels that follow, without the settled nodes."""
-        nonlocal links, tried
-        new = pairs.distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti")
-        new = written(new)
-        tried = new if tried is None else tried.unionByName(new)
-        found = None if new.isEmpty() else written(_confirmed(new, texts, size, percent))
-        if found is None or found.isEmpty():
+    def relabelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """Add found to the links and give rows the labels that follow, without the settled nodes."""
+        nonlocal links
+        if found.isEmpty():
             return rows
         links = found if links is None else links.unionByName(found)
-        if rows is None:
-            return None
         joined = components(links)
-        relabelled = rows.drop("size").join(joined, rows["rep"] == joined["id"], "left").withColumn("label", F.coalesce("component", "label")).drop("id", "component")
-        return written(_nodes(relabelled))
+        given = rows.drop("size").join(joined, rows["rep"] == joined["id"], "left").withColumn("label", F.coalesce("component", "label")).drop("id", "component")
+        return written(_nodes(given))
+
+    def confirm(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+        """Verify what has not been tried."""
+        nonlocal tried
+        new = pairs.distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti")
+        new = written(new)
+        tried = new if tried is None else tried.unionByName(new)
+        return rows if new.isEmpty() else relabelled(rows, written(_confirmed(new, texts, size, percent)))
 
     for depth in range(FIRST_DEPTH, LAST_DEPTH + 1):
         rows = written(_nodes(rows))
@@ -363,11 +415,14 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         rows = confirm(_exhaustive(rows.where(F.col("size") <= SMALL_NODE), percent), rows.where(F.col("size") > SMALL_NODE))
         if rows.isEmpty():
             break
-        if depth < LAST_DEPTH:
-            rows = _branch(rows.drop("size"))
-        else:
-            settled = written(_settled(rows, texts, size, percent))
-            links = settled if links is None else links.unionByName(settled)
+        if depth == LAST_DEPTH or depth % LEVELS == 0:
+            settled, left = _settled(rows, texts, size, percent, HOME if depth < LAST_DEPTH else 0)
+            rows = written(_nodes(relabelled(left, written(settled)).drop("size")))
+            if rows.isEmpty():
+                break
+        if depth % LEVELS == 0:
+            rows = _renewed(rows, texts, size, depth // LEVELS)
+        rows = _branch(rows.drop("size"), depth)
     ties = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     joined = components(ties if links is None else ties.unionByName(links))
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "key1", "key2").join(classes, ["key1", "key2"], "left")

@@ -109,14 +109,21 @@ def test_the_rest_alone_finds_every_link(spark, monkeypatch, size):
 
 @pytest.mark.parametrize("depth", range(near_dedup.FIRST_DEPTH, near_dedup.LAST_DEPTH + 1))
 def test_the_trees_hold_the_stated_recall(depth):
-    def miss(agree):  # given how many coordinates of the tree's pool agree, which all its nodes share
-        p = 1.0
-        for _ in range(depth):
-            p = 1 - sum(math.comb(agree, a) * math.comb(near_dedup.POOL - agree, 2 - a) / math.comb(near_dedup.POOL, 2) * (1 - p) ** a for a in range(3))
-        return 1 - p
-
-    tree = sum(math.comb(near_dedup.POOL, k) * 0.8**k * 0.2 ** (near_dedup.POOL - k) * miss(k) for k in range(near_dedup.POOL + 1))
-    assert tree**near_dedup.TREES < 1 / 70_000
+    """The number of paths that keep a pair of similarity 0.8, level by level; all paths of a tree share a level's coordinates."""
+    choice, paths = near_dedup.CHOICE, {1: 1.0}
+    for _ in range(depth):
+        deeper = Counter()
+        for agree in range(choice + 1):
+            chance = math.comb(choice, agree) * 0.8**agree * 0.2 ** (choice - agree)
+            one = np.array([math.comb(agree, a) * math.comb(choice - agree, 2 - a) / math.comb(choice, 2) for a in range(3)])
+            for n, p in paths.items():
+                spread = np.ones(1)
+                for _ in range(n):
+                    spread = np.convolve(spread, one)[:60]
+                for m, q in enumerate(spread):
+                    deeper[min(m, 40)] += chance * p * q
+        paths = deeper
+    assert paths[0] ** near_dedup.TREES < 1 / 70_000
 
 
 def test_no_links_without_rows_and_null_ids_stay(spark, docs):
