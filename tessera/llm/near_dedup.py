@@ -33,11 +33,13 @@ from pyspark.sql import functions as F
 
 from .common import release, small, table, written
 
-TREES, LEVELS, CHOICE, SKETCH, FIRST_DEPTH, LAST_DEPTH = 5, 4, 4, 128, 3, 16
+TREES, LEVELS, CHOICE, SKETCH, FIRST_DEPTH, LAST_DEPTH = 5, 4, 4, 128, 3, 8
 #: 16-bit tokens of a tree, four to a long, for LEVELS levels.
 POOL = LEVELS * CHOICE
 POOLS = [f"pool{i}" for i in range(POOL // 4)]
 SMALL_NODE, FAN, HOME = 16, 256, 60
+#: Rows that a Python task works on at a time.
+BLOCK = 256
 #: Tokens in fewer differences of a node than this are all counted as rare.
 COMMON = 32
 #: A sketch passes if its agreement is at most so many standard deviations below that of the threshold: of 128 two-bit minwise
@@ -51,7 +53,7 @@ class Hashes(dict):
     """64-bit hash of each word, computed once."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -118,8 +120,8 @@ def signatures(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFr
     """doc_id, text -> doc_id, n, key1, key2 (hash of the set), pools, SKETCHES."""
     seen, a = Hashes(), _coefficients(20240229, TREES * POOL + SKETCH)
     for batch in batches:
-        for start in range(0, len(batch), 512):
-            part = batch.iloc[start : start + 512]
+        for start in range(0, len(batch), BLOCK):
+            part = batch.iloc[start : start + BLOCK]
             sets = [shingles(t, size, seen) for t in part["text"]]
             n, mins = [len(x) for x in sets], _minima(sets, a)
             sketch = _two_bits(mins[:, TREES * POOL :])
@@ -134,8 +136,8 @@ def fresh(batches: Iterator[pd.DataFrame], size: int, turn: int) -> Iterator[pd.
     """id, text -> rep, key1 (of the set), pools: the coordinates of a later turn of LEVELS levels."""
     seen, a = Hashes(), _coefficients(20240229 + turn, TREES * POOL)
     for batch in batches:
-        for start in range(0, len(batch), 512):
-            part = batch.iloc[start : start + 512]
+        for start in range(0, len(batch), BLOCK):
+            part = batch.iloc[start : start + BLOCK]
             sets = [shingles(t, size, seen) for t in part["text"]]
             keys = [_signed(xxhash.xxh3_128_intdigest(s.tobytes()) >> 64) for s in sets]
             yield pd.DataFrame({"rep": part["id"].to_numpy(), "key1": keys, "pools": list(_pools(_minima(sets, a)))})
@@ -256,21 +258,25 @@ def _exhaustive(rows: DataFrame, percent: int) -> DataFrame:
     return x.join(y, on).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
 
 
-def differences(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    """Rows as `verify` takes them: yields a, b, node (hash of the hub's set), key (of the other's), n, m (their sizes) and the tokens that only one of them holds."""
+def differences(batches: Iterator[pd.DataFrame], size: int, guest: int) -> Iterator[pd.DataFrame]:
+    """Rows as `verify` takes them: yields a, b, node (hash of the hub's set), key (of the other's), n, m (their sizes) and the tokens that only one of them holds, where the similarity is guest percent or more."""
     seen, hub, own = Hashes(), None, []
     for batch in batches:
-        found: list[tuple] = []
-        for h, salt, role, other, text in zip(batch["hub"], batch["salt"], batch["role"], batch["other"], batch["text"], strict=True):
-            mine = shingles(text, size, seen)
-            key = _signed(xxhash.xxh3_64_intdigest(mine.tobytes()))
-            if role == 0:
-                hub, own = (h, salt), [*own, (key, mine)] if (h, salt) == hub else [(key, mine)]
-            elif (h, salt) != hub:
-                raise ValueError(f"no text for document {h}")
-            else:
-                found += [(h, other, node, key, len(mine), len(s), np.setxor1d(s, mine, assume_unique=True).view(np.int64)) for node, s in own]
-        yield pd.DataFrame(found, columns=["a", "b", "node", "key", "n", "m", "diff"])
+        for start in range(0, len(batch), BLOCK):
+            part, found = batch.iloc[start : start + BLOCK], []
+            for h, salt, role, other, text in zip(part["hub"], part["salt"], part["role"], part["other"], part["text"], strict=True):
+                mine = shingles(text, size, seen)
+                key = _signed(xxhash.xxh3_64_intdigest(mine.tobytes()))
+                if role == 0:
+                    hub, own = (h, salt), [*own, (key, mine)] if (h, salt) == hub else [(key, mine)]
+                elif (h, salt) != hub:
+                    raise ValueError(f"no text for document {h}")
+                else:
+                    for node, s in own:
+                        apart = np.setxor1d(s, mine, assume_unique=True)
+                        if (100 + guest) * len(apart) <= (100 - guest) * (len(mine) + len(s)):
+                            found.append((h, other, node, key, len(mine), len(s), apart.view(np.int64)))
+            yield pd.DataFrame(found, columns=["a", "b", "node", "key", "n", "m", "diff"])
 
 
 def _prefixed(held: DataFrame) -> DataFrame:
@@ -310,9 +316,8 @@ def _settled(rows: DataFrame, texts: DataFrame, size: int, percent: int, home: i
     met = met.where(_alike(F.col, lambda c: F.col(f"p.{c}"), guest)) if guest else met
     asked = written(met.select(F.col("p.rep").alias("a"), F.col("rep").alias("b"), "label", F.col("p.label").alias("top")).distinct())
     made = "a long, b long, node long, key long, n long, m long, diff array<long>"
-    diffs = _beside(asked.select("a", "b"), texts, lambda b: differences(b, size), made)
-    within = lambda p: F.size("diff") * (100 + p) <= (F.col("n") + F.col("m")) * (100 - p)
-    diffs = written(diffs.where(within(guest)).withColumn("dense", within(home)))
+    diffs = _beside(asked.select("a", "b"), texts, lambda b: differences(b, size, guest), made)
+    diffs = written(diffs.withColumn("dense", F.size("diff") * (100 + home) <= (F.col("n") + F.col("m")) * (100 - home)))
     alone = diffs.dropDuplicates(["node", "b", "key"])
     slack = F.size("diff").cast("long") * (100 + percent) - F.col("n") * (100 - percent)
     near = slack <= F.col("m") * (100 - percent)
