@@ -20,9 +20,11 @@ BROADCAST_BYTES = 32 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set (tests on one machine)."""
+    """The shared folder the cluster names; a temporary one only where none is set and all runs on one machine, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), f"tessera-checkpoints-{os.getuid()}")
         spark.sparkContext.setCheckpointDir(named)
         spark.conf.set("spark.checkpoint.dir", named)
@@ -61,6 +63,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running(values: Column) -> Column:
+    """Array of the sums of an array up to each place, by doubling: n log n, where a list that `aggregate` adds to is copied at every step."""
+    def doubled(sums: Column, k: Column) -> Column:
+        step = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - step), F.lit(0).cast("long")))
+
+    def summed(a: Column) -> Column:
+        rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(a).cast("double"))).cast("int") - 1)
+        return F.when(F.size(a) < 2, a).otherwise(F.aggregate(rounds, a, doubled))
+
+    return let(values.cast("array<bigint>"), summed)
+
+
 def words(text: Column) -> Column:
     """Array of the words of text; null gives an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
