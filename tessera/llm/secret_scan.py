@@ -3,13 +3,17 @@
 Spans come from built-in functions alone: splitting a text by a pattern gives the pieces between its matches, and the lengths of
 pieces and matches, added up alternately, give the places (code points, end exclusive).
 
-The battery looks at every run of 20 or more characters of the base-64 alphabets. Its encoding (hex, base32, base64) is the smallest
+The battery looks at every run of 20 or more characters of the base-64 alphabets, letters or digits alone included. Its encoding (hex, base32, base64) is the smallest
 alphabet that holds it; hex may be of either case or mixed, and dashed as a UUID. Three statistics follow: chi-squared uniformity over the alphabet, the number of runs above and
 below the alphabet's middle, and the lag-1 serial correlation. Each has a p-value under "random string" (normal
-approximations; Wilson-Hilferty for chi-squared); all three must exceed RANDOM_P. The null hypothesis that discovery has to
-reject is "ordinary text or identifier": its chi-squared grows with the length, so the p-value of so small a value falls with the length, and
-short tokens cannot be discovered by chance. Benjamini-Hochberg over all tokens of the table, on a fixed histogram of -log10 p,
+approximations; Wilson-Hilferty for chi-squared), and the least of the three, times three, must reach RANDOM_P. The null hypothesis that discovery has to
+reject is "ordinary text or identifier": chi-squared higher, turns fewer and correlation higher than at random, by an excess that grows with the length. The three normal scores
+against it are weighed together, so the one p-value that results falls with the length, and short tokens cannot be discovered by chance.
+Benjamini-Hochberg over all tokens of the table, on a fixed histogram of -log10 p,
 sets the level, so what is kept has a false-discovery rate of at most LEVEL under that model.
+
+Defined cases: a null or empty text has no spans; each row is scanned on its own, so repeated doc_ids and rows come back as often as they are; an empty table gives
+none; of tokens of equal score all are kept or none; texts of any length are scanned whole, in n log n of their matches; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table, written
+from .common import let, running, table, written
 
 # The patterns of the base kinds, with the least length of what must match.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -36,6 +40,10 @@ ALPHABETS = (
 LEVEL, RANDOM_P, BINS, STEP = 0.01, 0.001, 600, 0.05
 #: Excess of chi-squared a character that letters of ordinary words show in each alphabet, on the cautious side.
 TEXT_EXCESS = {"hex": 1.0, "base32": 1.0, "base64": 2.0}
+#: Share of turns about the middle and lag-1 correlation of ordinary words, on the cautious side too.
+TEXT_TURNS, TEXT_SERIAL = 0.42, 0.08
+#: What the chi-squared, runs and serial test weigh when their evidence is put together.
+WEIGHTS = (1.0, 0.5, 0.5)
 
 SPAN = "array<struct<start:int,end:int,kind:int,m:string>>"
 
@@ -43,12 +51,8 @@ SPAN = "array<struct<start:int,end:int,kind:int,m:string>>"
 def spans(text: Column, pattern: str, kind: int) -> Column:
     """array<struct<start, end, kind, m>> of the leftmost non-overlapping matches of a pattern that never matches empty."""
     def placed(found: Column, pieces: Column) -> Column:
-        at = lambda acc, i: acc["at"] + F.length(F.get(pieces, i))
-        step = lambda acc, i: F.struct(
-            (at(acc, i) + F.length(F.get(found, i))).alias("at"),
-            F.concat(acc["s"], F.array(F.struct(at(acc, i).alias("start"), (at(acc, i) + F.length(F.get(found, i))).alias("end"), F.lit(kind).alias("kind"), F.get(found, i).alias("m")))).alias("s"),
-        )
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.expr(f"named_struct('at', 0, 's', cast(array() as {SPAN}))"), step)["s"]
+        ends = running(F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.length(p) + F.length(m)))
+        return F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).cast("int").alias("start"), e.cast("int").alias("end"), F.lit(kind).alias("kind"), m.alias("m")))
 
     both = lambda t: let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda m: let(F.split(t, pattern, -1), lambda p: placed(m, p)))
     return F.when(text.rlike(pattern), let(text, both)).otherwise(F.expr(f"cast(array() as {SPAN})"))
@@ -71,28 +75,41 @@ def statistics(name: str, k: int, v: Column) -> Column:
         run = F.when(x == a["last"], a["run"] + 1).otherwise(F.lit(1.0))
         return F.struct(x.alias("last"), run.alias("run"), (a["squares"] + 2 * run - 1).alias("squares"))
 
-    squares = F.aggregate(F.array_sort(v), F.expr("named_struct('last', -1, 'run', 0.0D, 'squares', 0.0D)"), tally)["squares"]
-    pairs = F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    turns = F.size(F.filter(pairs, lambda x: (x["a"] > mid) != (x["b"] > mid))).cast("double")
-    serial = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + (x["a"] - mid) * (x["b"] - mid)) / var / F.sqrt(n - 1)
-    chi = F.lit(float(k)) * squares / n - n
-    wilson = (F.pow(F.greatest(chi, F.lit(0.0)) / (k - 1), F.lit(1 / 3)) - (1 - 2 / (9 * (k - 1)))) / (2 / (9 * (k - 1))) ** 0.5
-    runs = (turns - (n - 1) / 2) / F.sqrt((n - 1) / 4)
-    excess = TEXT_EXCESS[name]
-    as_text = ((k - 1) + excess * n - chi) / F.sqrt(2 * ((k - 1) + 2 * excess * n))
-    p_random = F.least(normal_tail(wilson), 2 * normal_tail(F.abs(runs)), 2 * normal_tail(F.abs(serial)))
-    score = F.greatest(-F.log10(F.greatest(normal_tail(as_text), F.lit(1e-30))), F.lit(0.0))
-    return F.struct(F.lit(name).alias("encoding"), p_random.alias("p_random"), score.alias("score"))
+    def sums(pairs: Column) -> Column:
+        squares = F.aggregate(F.array_sort(v), F.expr("named_struct('last', -1, 'run', 0.0D, 'squares', 0.0D)"), tally)["squares"]
+        turns = F.size(F.filter(pairs, lambda x: (x["a"] > mid) != (x["b"] > mid))).cast("double")
+        serial = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + (x["a"] - mid) * (x["b"] - mid)) / var / F.sqrt(n - 1)
+        return F.struct(n.alias("n"), (F.lit(float(k)) * squares / n - n).alias("chi"), turns.alias("turns"), serial.alias("serial"))
+
+    def scores(x: Column) -> Column:
+        n, chi, turns, serial = (x[c] for c in ("n", "chi", "turns", "serial"))
+        wilson = (F.pow(F.greatest(chi, F.lit(0.0)) / (k - 1), F.lit(1 / 3)) - (1 - 2 / (9 * (k - 1)))) / (2 / (9 * (k - 1))) ** 0.5
+        runs = (turns - (n - 1) / 2) / F.sqrt((n - 1) / 4)
+        excess = TEXT_EXCESS[name]
+        against = [
+            ((k - 1) + excess * n - chi) / F.sqrt(2 * ((k - 1) + 2 * excess * n)),
+            (turns - TEXT_TURNS * (n - 1)) / F.sqrt(TEXT_TURNS * (1 - TEXT_TURNS) * (n - 1)), TEXT_SERIAL * F.sqrt(n - 1) - serial,
+        ]
+        weighed = sum(w * z for w, z in zip(WEIGHTS, against, strict=True)) / sum(w * w for w in WEIGHTS) ** 0.5
+        return F.struct(wilson.alias("wilson"), F.abs(runs).alias("runs"), F.abs(serial).alias("serial"), weighed.alias("weighed"))
+
+    def judged(z: Column) -> Column:
+        p_random = F.least(F.lit(1.0), 3 * F.least(normal_tail(z["wilson"]), 2 * normal_tail(z["runs"]), 2 * normal_tail(z["serial"])))
+        score = F.greatest(-F.log10(F.greatest(normal_tail(z["weighed"]), F.lit(1e-30))), F.lit(0.0))
+        return F.struct(F.lit(name).alias("encoding"), p_random.alias("p_random"), score.alias("score"))
+
+    # each step is bound, as nothing else keeps a lambda's parts from being evaluated again at every use
+    follows = F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return let(let(let(follows, sums), scores), judged)
 
 
 def battery(token: Column) -> Column:
     """struct<encoding, p_random, score>: score is -log10 of the p-value of "ordinary text" (0: no evidence)."""
-    none = F.struct(F.lit("none").alias("encoding"), F.lit(0.0).alias("p_random"), F.lit(0.0).alias("score"))
-    out = none
+    out = F.struct(F.lit("none").alias("encoding"), F.lit(0.0).alias("p_random"), F.lit(0.0).alias("score"))
     for name, k, chars, fits in reversed(ALPHABETS):
         plain = F.translate(token, "-_", "+/") if name == "base64" else F.lower(F.translate(token, "-", "")) if name == "hex" else token
         out = F.when(token.rlike(fits), _tested(name, k, _places(plain, chars))).otherwise(out)
-    return F.when(token.rlike("[0-9]") & token.rlike("[A-Za-z]"), out).otherwise(none)
+    return out
 
 
 def _places(token: Column, chars: str) -> Column:
