@@ -5,6 +5,8 @@ those below a threshold that its partition sets so that SKETCH of them are expec
 very smallest always. A long document needs no sketch of its own size: its shingle hashes are held against those of the items.
 A pair is a candidate if the share of the sketch that was found is not below the containment sought by more than SIGMAS
 standard deviations of the estimate; all candidates are then verified on the whole sets of shingle strings.
+The sketches are counted, and broadcast where they fit; where they do not, the documents' hashes pass a bitmap of fixed size before they are shuffled, so
+what is shuffled are mostly hashes that some item holds.
 
 Shingles are SHINGLE words of the lower-cased text; a shorter text is one shingle; an empty one has none and is in no pair.
 """
@@ -14,9 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, small, table, words, written
+from .common import BROADCAST_BYTES, let, small, table, words, written
 
 SHINGLE, CONTAINMENT, SKETCH, SIGMAS = 5, 0.8, 16, 4.0
+#: Bytes of a sketch row in a broadcast; binary logarithm of the bits of the sieve, which has 2^21 rows at most.
+SKETCH_ROW, SIEVE = 40, 27
 
 
 def shingle_strings(text: Column, size: int = SHINGLE) -> Column:
@@ -49,6 +53,15 @@ def sketches(items: DataFrame) -> DataFrame:
     return taken.select("item_id", "_share", F.size("h").alias("n_sketch"), F.explode("h").alias("h"))
 
 
+def sieved(cut: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Rows of cut whose hash may be one of keyed: a table of 2^SIEVE bits, 64 to a row, so its size does not depend on the items."""
+    word, bit = (lambda h: F.shiftrightunsigned(h, 70 - SIEVE)), (lambda h: F.shiftrightunsigned(h, 64 - SIEVE).bitwiseAND(F.lit(63)).cast("int"))
+    shifted = F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("h")))
+    bits = written(keyed.groupBy(word(F.col("h")).alias("_w")).agg(F.bit_or(shifted).alias("_bits")))
+    held = cut.withColumn("_w", word(F.col("h"))).join(F.broadcast(bits), "_w")
+    return held.where(F.call_function("shiftrightunsigned", F.col("_bits"), bit(F.col("h"))).bitwiseAND(F.lit(1).cast("long")) == 1).select(*cut.columns)
+
+
 def leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """One row for each document and item with at least `containment` of the item's shingles in the document.
 
@@ -59,8 +72,9 @@ def leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     keyed = written(sketches(items.select(F.col("_item").alias("item_id"), "text")).withColumnRenamed("item_id", "_item"))
-    side = small(keyed, size["b"] // 4 + size["n"], 40)
-    found = docs.select("doc_id", F.explode(F.array_distinct(shingle_hashes(F.col("text")))).alias("h")).join(side, "h")
+    n = keyed.count()
+    cut = docs.select("doc_id", F.explode(F.array_distinct(shingle_hashes(F.col("text")))).alias("h"))
+    found = (cut if n * SKETCH_ROW <= BROADCAST_BYTES else sieved(cut, keyed)).join(small(keyed, n, SKETCH_ROW), "h")
     spread = F.when(F.col("_share") >= 1, F.lit(0.0)).otherwise(F.lit(SIGMAS) * F.sqrt(F.col("n_sketch") * containment * (1 - containment)))
     pairs = found.groupBy("doc_id", "_item").agg(F.count("*").alias("hits"), F.first("n_sketch").alias("n_sketch"), F.first("_share").alias("_share"))
     pairs = written(pairs.where(F.col("hits") >= F.greatest(F.lit(1.0), F.col("n_sketch") * containment - spread - 1e-9)).select("doc_id", "_item"))
