@@ -65,6 +65,27 @@ def test_equal_rows_and_null_keys_are_spread(spark):
     assert len(got) == 1000 and set(got.groupby("shard").size()) <= {62, 63} and not got.duplicated(["shard", "slot"]).any()
 
 
+def test_the_walk_is_that_of_single_keys():
+    draw = random.Random(2)
+    counts = {c: draw.randint(1, 6) for c in draw.sample(range(256), 90)} | {17: 400}
+    for slack in (0.0, 0.25):
+        points, room = sharding.ring(5, 8, 256), sharding.capacities(sum(counts.values()), 5, slack)
+        # in rounds, each key at its point asks for room, lower cells and ranks first; those refused go on to the next point
+        waiting = [(next((p for p, (at, _) in enumerate(points) if at >= c), 0), c, r) for c in sorted(counts) for r in range(counts[c])]
+        held, home = Counter(), {}
+        while waiting:
+            refused = []
+            for p, c, r in sorted(waiting, key=lambda k: k[0]):
+                shard = points[p][1]
+                if held[shard] < room[shard]:
+                    home[c, r], held[shard] = (shard, held[shard]), held[shard] + 1
+                else:
+                    refused.append(((p + 1) % len(points), c, r))
+            waiting = refused
+        got = {(c, low + i): (s, slot + i) for c, low, high, s, slot in sharding.walk(counts, 5, 8, 256, slack) for i in range(high - low)}
+        assert got == home
+
+
 def test_one_more_shard_moves_few():
     counts = {c: 5 for c in range(0, sharding.CELLS, 8)}
     homes = lambda n: {(c, r): s for c, low, high, s, _ in sharding.walk(counts, n, slack=0.25) for r in range(low, high)}
@@ -357,6 +378,19 @@ def test_leaks_are_those_of_all_pairs(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and len(want) == 11  # item 0 is shorter than a shingle
 
 
+def test_the_sieve_keeps_what_it_must_and_little_else(spark, monkeypatch):
+    keyed = spark.range(1000).select(F.xxhash64("id").alias("h"))
+    cut = spark.range(50_000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("h"))
+    kept = {r[0] for r in decontaminate.sieved(cut, keyed).select("doc_id").collect()}
+    assert set(range(1000)) <= kept and len(kept) < 1100
+    items = [(i, prose(30)) for i in range(20)]
+    docs = spark.createDataFrame([(i, prose(40) + " " + items[i % 20][1]) for i in range(30)], "doc_id long, text string")
+    found = lambda: sorted(map(tuple, decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()))
+    plain = found()
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    assert found() == plain and len(plain) >= 30
+
+
 def test_pu_learning_finds_the_marked_words(spark):
     rows = [(i, prose(30) + (" horribleword nastyterm" if i % 5 == 0 else "")) for i in range(600)]
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(0, 400)], "doc_id long, toxic int")
@@ -377,6 +411,25 @@ def test_languages_held_out(spark):
     assert (langid.predict(docs, None).toPandas().lang_pred == "und").all()
 
 
+def test_the_language_sample_is_bounded_and_spread(spark):
+    rows = spark.range(30_000).selectExpr("if(id % 3 = 0, 7, id) AS doc_id", "if(id % 2 = 0, 'aa', 'bb') AS lang", "if(id % 3 = 0, concat('x', id % 600), string(id)) AS text").union(spark.sql("SELECT 5L, 'cc', 'z'"))
+    known = rows.withColumn("_h", F.xxhash64("doc_id", "text"))
+    got = langid.sampled(known, known.groupBy("lang").agg(F.count("*").alias("_n")), 100).toPandas()
+    assert got.groupby("lang").size().to_dict() == {"aa": 100, "bb": 100, "cc": 1} and not got.duplicated(["doc_id", "_h"]).any()
+
+
+def test_decoding_is_that_of_plain_loops():
+    draw = np.random.default_rng(4)
+    code = langid.codewords(4)
+    model = langid.Model(list("abcd"), code, draw.normal(size=(langid.WIDTH, code.shape[1])), draw.normal(size=code.shape[1]), draw.uniform(0.5, 2, code.shape[1]))
+    rows = draw.random((20, langid.WIDTH))
+    index, score, lead = model.decode(rows)
+    for i, x in enumerate(rows):
+        losses = [sum(t * math.log1p(math.exp(-b * (x @ w + c))) for b, w, c, t in zip(word, model.weights.T, model.bias, model.trust, strict=True)) for word in code]
+        shares = sorted(1 / sum(math.exp(a - b) for b in losses) for a in losses)
+        assert index[i] == int(np.argmin(losses)) and abs(score[i] - shares[-1]) < 1e-9 and abs(lead[i] - (shares[-1] - shares[-2])) < 1e-9
+
+
 def test_every_language_is_fitted(spark):
     made = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(140)]
     rows = [(3 * i + j, " ".join([w, w[::-1]] * (5 + j)), f"l{i:03}") for i, w in enumerate(made) for j in range(3)]
