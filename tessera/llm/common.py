@@ -39,7 +39,7 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    atexit.register(_drop, spark, path)
+    atexit.register(remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -47,10 +47,11 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
 
 def release(df: DataFrame) -> None:
     """Delete a table made by `written` that no later plan reads."""
-    _drop(df.sparkSession, df._written_at)
+    remove(df.sparkSession, df._written_at)
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder by Spark's own file system, if the session still runs."""
     context = spark.sparkContext
     if context._jsc is None:  # the session has ended: its folder is the cluster's to clear
         return

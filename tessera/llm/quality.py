@@ -112,14 +112,18 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per document with the base counts, the ratios, `kept` and the names of the rules that failed."""
+    """One row per document with the base counts, the ratios, `kept` and the names of the rules that failed.
+
+    Null and empty texts have counts of 0 and fail; equal rows and repeated doc_ids are judged each; whole texts of any length, in n log n of their words;
+    a measure that equals its bound passes; an empty table gives none. Only doc_id and text are read, so others may have any names.
+    """
     flat = measured(docs.select("doc_id", "text")).select("doc_id", "_q.*")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return flat.withColumn("base_failed", base).withColumn("kept", ~base & verdict(rules)).withColumn("failed", failed_rules(rules))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """Documents that pass, with their own columns."""
+    """Documents that pass, with their own columns under any names; cases as in `judged`."""
     names = docs.columns
     flat = measured(docs).select(*[F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(names)], "_q.*")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -127,6 +131,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; cases as in `judged`."""
     out = judged(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
