@@ -185,6 +185,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable, for every id of an edge (a, b). Alternating large-star and small-star."""
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    known = _digest(now)
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -195,16 +196,16 @@ def components(edges: DataFrame) -> DataFrame:
         nxt = tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")
         nxt = written(nxt.distinct())
         release(large)
-        same = not _differ(now, nxt)
         release(now)
-        if same:
+        before, known = known, _digest(nxt)
+        if before == known:
             return nxt.select(F.col("u").alias("id"), F.col("v").alias("component"))
         now = nxt
 
 
-def _differ(x: DataFrame, y: DataFrame) -> bool:
-    digest = lambda d: d.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0)).cast("string"), F.coalesce(F.bit_xor(F.xxhash64("v", "u")), F.lit(0))).first()
-    return digest(x) != digest(y)
+def _digest(edges: DataFrame) -> tuple:
+    total = F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0)).cast("string")
+    return tuple(edges.agg(F.count("*"), total, F.coalesce(F.bit_xor(F.xxhash64("v", "u")), F.lit(0))).first())
 
 
 def _children(node: Column, level: int) -> Column:
@@ -393,41 +394,45 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
     links = tried = None
 
-    def relabelled(rows: DataFrame, found: DataFrame) -> DataFrame:
-        """Add found to the links and give rows the labels that follow, without the settled nodes."""
-        nonlocal links
-        if found.isEmpty():
-            return rows
-        links = found if links is None else links.unionByName(found)
-        joined = components(links)
-        given = rows.drop("size").join(joined, rows["rep"] == joined["id"], "left").withColumn("label", F.coalesce("component", "label")).drop("id", "component")
-        return written(_nodes(given))
-
-    def confirm(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    def confirm(pairs: DataFrame) -> None:
         """Verify what has not been tried."""
-        nonlocal tried
+        nonlocal links, tried
         new = pairs.distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti")
         new = written(new)
         tried = new if tried is None else tried.unionByName(new)
-        return rows if new.isEmpty() else relabelled(rows, written(_confirmed(new, texts, size, percent)))
+        if not new.isEmpty():
+            found = written(_confirmed(new, texts, size, percent))
+            links = found if links is None else links.unionByName(found)
 
-    for depth in range(FIRST_DEPTH, LAST_DEPTH + 1):
+    depth = FIRST_DEPTH
+    while True:
         rows = written(_nodes(rows))
         if rows.isEmpty():
             break
         if depth == FIRST_DEPTH:
-            rows = confirm(_stars(rows, percent), rows)
-        rows = confirm(_exhaustive(rows.where(F.col("size") <= SMALL_NODE), percent), rows.where(F.col("size") > SMALL_NODE))
+            confirm(_stars(rows, percent))
+            if links is not None:  # the one time that labels are brought up to date: they only save work, and large groups are joined by now
+                joined = components(links)
+                given = rows.drop("size").join(joined, rows["rep"] == joined["id"], "left").withColumn("label", F.coalesce("component", "label")).drop("id", "component")
+                rows = written(_nodes(given))
+        confirm(_exhaustive(rows.where(F.col("size") <= SMALL_NODE), percent))
+        rows = rows.where(F.col("size") > SMALL_NODE)
         if rows.isEmpty():
             break
         if depth == LAST_DEPTH or depth % LEVELS == 0:
-            settled, left = _settled(rows, texts, size, percent, HOME if depth < LAST_DEPTH else 0)
-            rows = written(_nodes(relabelled(left, written(settled)).drop("size")))
+            settled, rows = _settled(rows, texts, size, percent, HOME if depth < LAST_DEPTH else 0)
+            settled = written(settled)
+            links = settled if links is None else links.unionByName(settled)
+            if depth == LAST_DEPTH:
+                break
+            rows = written(_nodes(rows.drop("size")))
             if rows.isEmpty():
                 break
-        if depth % LEVELS == 0:
             rows = _renewed(rows, texts, size, depth // LEVELS)
-        rows = _branch(rows.drop("size"), depth)
+        rows, deeper = rows.drop("size"), min(depth + (1 if depth < LEVELS else 2), LAST_DEPTH)
+        for level in range(depth, deeper):
+            rows = _branch(rows, level)
+        depth = deeper
     ties = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     joined = components(ties if links is None else ties.unionByName(links))
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "key1", "key2").join(classes, ["key1", "key2"], "left")
