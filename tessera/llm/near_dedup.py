@@ -244,14 +244,12 @@ def _star(rows: DataFrame, order: Column, percent: int) -> DataFrame:
 def _stars(rows: DataFrame, percent: int) -> DataFrame:
     """In small nodes none is needed; large ones have a random pivot and the most central member. A document takes part in the largest node of each tree.
 
-    Central is who shares its nodes with most documents: the original of a group of copies that each went their own way.
+    Central is who shares its nodes with most documents (`weight`): the original of a group of copies that each went their own way.
     """
     large = rows.where(F.col("size") > SMALL_NODE)
     order = F.col("size") * 1024 + F.pmod("node", F.lit(1024))
-    largest = large.groupBy("rep", "which", "label", "t", *SKETCHES).agg(F.max_by("node", order).alias("node"), F.sum("size").alias("_s"))
-    central = largest.groupBy("rep").agg(F.sum("_s").alias("_c"))
-    ranked = largest.join(central, "rep")
-    return _star(ranked, -F.col("_c"), percent).unionByName(_star(largest, F.xxhash64("rep", "node"), percent))
+    largest = large.groupBy("rep", "which", "label", "weight", "t", *SKETCHES).agg(F.max_by("node", order).alias("node"))
+    return _star(largest, -F.col("weight"), percent).unionByName(_star(largest, F.xxhash64("rep", "node"), percent))
 
 
 def _exhaustive(rows: DataFrame, percent: int) -> DataFrame:
@@ -312,8 +310,7 @@ def _settled(rows: DataFrame, texts: DataFrame, size: int, percent: int, home: i
     Dx and Dy share many tokens, of which one is among the rarest of either. What they have in common with the pivot
     no longer brings them together: a dense group costs its members, not their square.
     """
-    central = rows.groupBy("rep").agg(F.sum("size").alias("_c"))
-    pivots = rows.join(central, "rep").groupBy("node").agg(F.min_by(F.struct("rep", "which", "label", *SKETCHES), F.struct(-F.col("_c"), F.col("rep"))).alias("p"))
+    pivots = rows.groupBy("node").agg(F.min_by(F.struct("rep", "which", "label", *SKETCHES), F.struct(-F.col("weight"), F.col("rep"))).alias("p"))
     guest = max(0, home - (100 - percent))
     met = rows.join(pivots, "node")
     met = met.where(_alike(F.col, lambda c: F.col(f"p.{c}"), guest)) if guest else met
@@ -391,8 +388,9 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     for level in range(FIRST_DEPTH):
         rows = _branch(rows, level)
     # what shares a node with another set is sought among bare ids: most nodes hold one
-    rows = _nodes(rows.select("node", "rep", "which", "t", F.col("rep").alias("label"))).drop("size")
-    rows = rows.join(first, ["rep", "which"]).select("node", "rep", "which", "t", "label", *_of_tree(F.col("pools")), *SKETCHES)
+    bare = written(_nodes(rows.select("node", "rep", "which", "t", F.col("rep").alias("label"))))
+    weighed = first.join(bare.groupBy("rep").agg(F.sum("size").alias("weight")), "rep")
+    rows = bare.drop("size").join(weighed, ["rep", "which"]).select("node", "rep", "which", "t", "label", "weight", *_of_tree(F.col("pools")), *SKETCHES)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
     links = tried = None
 
