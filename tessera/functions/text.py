@@ -12,8 +12,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-#: General placeholder forms (named printf, positional printf, braces, tags, escapes).
-PLACEHOLDERS = r"%\([A-Za-z_]\w*\)[sd]|%[sd]|\{[^{}\s]*\}|</?[A-Za-z][^<>]*>|\\n"
+#: General placeholder forms (named printf, printf, percent sign, named and numbered braces, tags, line breaks), in the order they are tried.
+PLACEHOLDERS = "|".join((
+    r"%\([^)]+\)(?:[-+#0]*\d*(?:\.\d+)?[diouxXeEfFgGcrsa])?", r"%(?!\()[\-+#0]*\d*(?:\.\d+)?[diouxXeEfFgGcrsa]", r"%%",
+    r"\{[A-Za-z_][A-Za-z0-9_.\[\]]*\}", r"\{\d+\}", r"</?[A-Za-z][^<>]*?>", r"\r\n|\r|\n",
+))
+#: A mask's token, what is left of one in any writing, what looks like a placeholder of an unknown kind, and characters that carry no meaning.
+TOKEN = r"\[PH_[0-9a-f]{8}_\d+\]"
+TOKEN_RESIDUE = r"[\[【〔（(]\s*[Pp][Hh][ _\-]?[0-9a-fA-F]{8}[ _\-]?\d+\s*[\]】〕）)]"
+UNKNOWN = r"\$[^\s$]{1,40}\$|£[^\s£]{1,40}£|§.|\[[^\]\s]{1,40}\]|%[0-9]+\$[a-zA-Z]|\{\{[^}]{1,40}\}\}"
+MEANINGLESS = " \t\r\n.,:;-—/|()[]{}%#*+"
+
+
+def with_preset(extra: Sequence[str] = (), presets: Sequence[str] = ()) -> str:
+    """The pattern of a project's own forms, an adapter's presets and the general ones, tried in this order."""
+    return "|".join((*extra, *presets, PLACEHOLDERS))
 
 
 def unicode(pattern: str) -> str:
@@ -102,6 +115,48 @@ def restore(masked: Column, tokens: Column) -> Column:
     return F.aggregate(tokens, masked, lambda a, t: F.replace(a, t["token"], t["value"]))
 
 
+def translatable(text: Column, pattern: str = PLACEHOLDERS) -> Column:
+    """Whether anything but placeholders, masks and characters without meaning is left of a text; null counts as empty."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), unicode(f"(?:{pattern})"), ""), TOKEN, "")
+    return F.btrim(bare, F.lit(MEANINGLESS)) != ""
+
+
+def unmasked(masked: Column) -> Column:
+    """What still looks like a placeholder once a text has been masked."""
+    return F.filter(F.regexp_extract_all(masked, F.lit(unicode(UNKNOWN)), F.lit(0)), lambda x: ~x.rlike(rf"\A{TOKEN}\z"))
+
+
+def multiset_except(a: Column, b: Column) -> Column:
+    """Sorted array of what a holds more often than b, as often as it does so."""
+    times = lambda held, x: F.size(F.filter(held, lambda y: y == x))
+    more = F.transform(F.array_distinct(a), lambda x: F.array_repeat(x, F.greatest(times(a, x) - times(b, x), F.lit(0))))
+    return F.array_sort(F.flatten(more))
+
+
+def runs(text: Column, token: str, least: int) -> Column:
+    """Runs of `least` or more tokens that only blanks and light punctuation part, each joined by single spaces. Tokens hold no blanks."""
+    found = F.regexp_extract_all(text, F.lit(unicode(f"(?:{token})")), F.lit(0))
+    gaps = F.split(text, unicode(f"(?:{token})"), -1)
+    light = lambda i: F.get(gaps, i).rlike(r"""(?U)\A[\s.,;:!?'"()\[\]/\\-]*\z""")
+    laid = F.array_join(F.transform(found, lambda x, i: F.concat(F.when(i == 0, "").when(light(i), " ").otherwise("\u001f"), x)), "")
+    return F.filter(F.split(laid, "\u001f"), lambda r: (r != "") & (F.size(F.split(r, " ")) >= least))
+
+
+def normalized(text: Column, rules: Sequence[tuple[str, str]], passes: int = 64, growth: int = 4) -> Column:
+    """struct(text, converged): rules (pattern, replacement) applied in order until nothing changes.
+
+    Rules that go round in circles, grow a text without bound or need more than `passes` rounds leave the text as it was, not converged.
+    """
+    def once(x: Column) -> Column:
+        for pattern, replacement in rules:
+            x = F.regexp_replace(x, unicode(pattern), replacement)
+        return x
+
+    limit = F.greatest(F.length(text) * growth, F.length(text) + 64)
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(passes)), text, lambda x, _: F.when(F.length(x) > limit, x).otherwise(once(x)))
+    return F.element_at(F.transform(F.array(last), lambda x: F.struct(F.when(once(x) == x, x).otherwise(text).alias("text"), (once(x) == x).alias("converged"))), 1)
+
+
 @F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

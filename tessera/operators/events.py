@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STATES = {"commit": "committed", "skip": "skipped", "draft": "draft", "revert": "pending", "retire": "pending", "defer": "deferred"}
+from ..tables import cut
+
+#: The state that each action leaves a target in; any other leaves it pending.
+STATES = {"draft": "draft", "commit": "committed", "unify": "committed", "accept_debt": "committed", "revert": "reverted", "retire": "pending", "skip": "skipped", "defer": "deferred"}
 
 
 def ledger(log: DataFrame) -> DataFrame:
-    """State of each target after its last action; its text is that of the last action that has one."""
+    """State of each target after its last action; its text is that of the last action that has one. Of actions with the same seq the greatest name counts as last."""
     state = F.lit("pending")
     for action, name in STATES.items():
         state = F.when(F.col("action") == action, name).otherwise(state)
-    spoken = F.when(F.col("text").isNotNull(), F.col("seq"))
-    out = log.withColumn("_s", state).groupBy("target").agg(F.max_by("_s", "seq").alias("state"), F.max_by("text", spoken).alias("text"), F.max("seq").alias("cursor"), F.count("*").alias("events"))
+    order = F.struct("seq", "action", "text")
+    spoken = F.when(F.col("text").isNotNull(), order)
+    out = log.withColumn("_s", state).groupBy("target").agg(F.max_by("_s", order).alias("state"), F.max_by("text", spoken).alias("text"), F.max("seq").alias("cursor"), F.count("*").alias("events"))
     return out
 
 
@@ -35,11 +39,17 @@ def transitions(events: DataFrame) -> DataFrame:
 
 
 def lineage(edges: DataFrame, limit: int = 32) -> DataFrame:
-    """(id, ancestor, depth) of each chain of parents, by doubling: after k joins chains of 2^k steps are known."""
+    """(id, ancestor, depth) of each chain of parents, by doubling: after k joins chains of 2^k steps are known.
+
+    Chains end after `limit` steps, so a cycle comes back as often as it fits. Each round is cut off from its plan and read by the next.
+    """
     now = edges.select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
     for k in range(max(1, (limit - 1).bit_length())):
         step = 1 << k  # rows of depth up to `step` are known; those of exactly `step` reach on
         ends = now.where(F.col("depth") == step).select("id", F.col("ancestor").alias("_a"))
         more = ends.join(now.select(F.col("id").alias("_a"), F.col("ancestor"), F.col("depth").alias("_d")), "_a")
-        now = now.unionByName(more.select("id", "ancestor", (F.col("_d") + step).alias("depth")))
+        more = cut(more.select("id", "ancestor", (F.col("_d") + step).alias("depth")))
+        if more.isEmpty():
+            break
+        now = now.unionByName(more)
     return now.where(F.col("depth") <= limit)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank
+from .memory import unique
 
 PROTECTED = (-1, 2, 3, 5, 9)
 
@@ -13,14 +14,15 @@ PROTECTED = (-1, 2, 3, 5, 9)
 def merge(baseline: DataFrame, local: DataFrame, remote: DataFrame, resolutions: DataFrame | None = None) -> DataFrame:
     """key, original, translation, stage, origin, upload, conflicts (array). One row for each key of local or remote.
 
-    Sides have key, original, translation, stage, origin with one row a key; resolutions have key and side (local or remote).
+    Sides have key, original, translation, stage, origin; of several rows of a key the greatest counts. Resolutions have key and side (local or remote);
+    one that names a side without the key is an error.
     """
     def side(df: DataFrame, p: str) -> DataFrame:
-        return df.select("key", F.lit(True).alias(f"{p}_here"), F.struct("original", "translation", "stage", "origin").alias(p))
+        return unique(df.select("key", "original", "translation", "stage", "origin"), "key").select("key", F.lit(True).alias(f"{p}_here"), F.struct("original", "translation", "stage", "origin").alias(p))
 
     met = side(baseline, "b").join(side(local, "l"), "key", "full").join(side(remote, "r"), "key", "full")
     if resolutions is not None:
-        met = met.join(resolutions.select("key", "side"), "key", "left")
+        met = met.join(unique(resolutions.select("key", "side"), "key"), "key", "left")
     else:
         met = met.withColumn("side", F.lit(None).cast("string"))
     text = lambda p: F.coalesce(F.col(f"{p}.translation"), F.lit(""))
@@ -29,7 +31,8 @@ def merge(baseline: DataFrame, local: DataFrame, remote: DataFrame, resolutions:
     changed = lambda p, empty: F.when(no_b, ~empty).otherwise(text(p) != text("b"))
     both = changed("l", l_blank) & changed("r", r_blank) & (text("l") != text("r"))
     rule = (
-        F.when(F.col("side") == "remote", "remote").when(F.col("side") == "local", "local")
+        F.when(((F.col("side") == "remote") & no_r) | ((F.col("side") == "local") & no_l), F.raise_error(F.concat(F.lit("a resolution names a side without the key "), F.col("key").cast("string"))).cast("string"))
+        .when(F.col("side") == "remote", "remote").when(F.col("side") == "local", "local")
         .when(no_r & ~no_l, "local").when(no_r & no_l, "none").when(F.col("r.stage") == -1, "adopt").when(no_l, "remote")
         .when(F.col("l.original") != F.col("r.original"), "source_changed").when(F.col("r.stage").isin(*PROTECTED), "adopt")
         .when((F.col("r.stage") == 1) & ~r_blank, "remote").when(both & (F.col("l.origin") == "machine") & ~r_blank, "remote")

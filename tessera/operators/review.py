@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, placeholders, same_multiset, strip
+from ..functions.text import TOKEN_RESIDUE, blank, placeholders, same_multiset, strip, translatable, unicode
 
 
-def findings() -> Column:
-    """Codes of a unit (source_text, translation) whether or not its text is blank, in the order of judgement."""
-    text, source = F.coalesce("translation", F.lit("")), F.col("source_text")
+def findings(source: Column | None = None, text: Column | None = None) -> Column:
+    """Codes of a text for a source (else the columns translation and source_text) whether or not it is blank, in the order of judgement; nulls count as empty."""
+    text, source = (F.coalesce(F.col(n) if x is None else x, F.lit("")) for n, x in (("translation", text), ("source_text", source)))
     rest = [
         (~same_multiset(placeholders(source), placeholders(text)), "placeholder_mismatch"),
-        ((strip(source) == strip(text)) & source.rlike(r"(?U)\p{L}"), "untranslated"),
+        (translatable(source) & (strip(source) == strip(text)), "untranslated"),
         (F.contains(text, F.lit("\x00")), "invalid_control_character"),
-        (text.rlike(r"(?i)[\[［]\s*PH_[0-9a-f]{8}_[0-9]+\s*[\]］]"), "placeholder_variant_residue"),
+        (text.rlike(unicode(TOKEN_RESIDUE)), "placeholder_variant_residue"),
     ]
     return F.array_compact(F.array(F.when(blank(text), F.lit("empty_translation")), *[F.when(c, F.lit(n)) for c, n in rest]))
 
 
+def valid(source: Column | None = None, text: Column | None = None) -> Column:
+    """Whether a text may stand for its source: the one judgement that planning, building and rechecking share."""
+    return F.size(findings(source, text)) == 0
+
+
 def codes() -> Column:
     """The findings that are reported: a blank text has only the first."""
     return F.when(blank(F.col("translation")), F.array(F.lit("empty_translation"))).otherwise(findings())
@@ -50,9 +55,13 @@ def classify_history(units: DataFrame, terms: DataFrame) -> DataFrame:
     return both.withColumn("classification", kind).withColumn("reason", why).drop("_split")
 
 
-def records(units: DataFrame) -> DataFrame:
-    """One row per unit and code."""
-    return units.withColumn("code", F.explode(codes()))
+def records(units: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """One row per unit and code, and one per unit and violated term where terms are given; a blank text has only its first code."""
+    out = units.withColumn("code", F.explode(codes()))
+    if terms is None:
+        return out
+    broken = term_violations(units.where(~blank(F.col("translation"))), terms).select(*units.columns, F.lit("glossary_violation").alias("code"))
+    return out.unionByName(broken)
 
 
 def _glob(pattern: Column) -> Column:
@@ -66,9 +75,9 @@ def _glob(pattern: Column) -> Column:
 
 
 def _holds(mode: Column, source: Column, form: Column) -> Column:
-    """Whether a source holds a form. Words go by lower case, as in the SQL of the queries; the other modes by the very characters."""
-    whole = F.concat(F.lit(r"(?U)(?<!\w)"), F.regexp_replace(F.lower(form), r"(?U)([^\w])", r"\\$1"), F.lit(r"(?!\w)"))
-    return F.when(mode == "exact", source == form).when(mode == "substring", F.contains(source, form)).otherwise(F.rlike(F.lower(source), whole))
+    """Whether a source holds a form, by the very characters: as a whole, inside, or as words."""
+    whole = F.concat(F.lit(r"(?U)(?<!\w)"), F.regexp_replace(form, r"(?U)([^\w])", r"\\$1"), F.lit(r"(?!\w)"))
+    return F.when(mode == "exact", source == form).when(mode == "substring", F.contains(source, form)).otherwise(F.rlike(source, whole))
 
 
 def term_violations(units: DataFrame, terms: DataFrame) -> DataFrame:
@@ -89,9 +98,9 @@ def term_violations(units: DataFrame, terms: DataFrame) -> DataFrame:
         given("scope", none).cast("string").alias("_in"), F.coalesce(given("exclude_scope", none).cast("array<string>"), F.array().cast("array<string>")).alias("_out"),
     )
     each_form = known.select("*", F.posexplode("_forms").alias("_i", "_form"))
-    key = F.when(F.col("_mode") == "exact", F.col("_form")).when(F.col("_mode") == "word", F.regexp_extract(F.lower("_form"), r"(?U)\w+", 0)).otherwise("")
+    key = F.when(F.col("_mode") == "exact", F.col("_form")).when(F.col("_mode") == "word", F.regexp_extract("_form", r"(?U)\w+", 0)).otherwise("")
     keyed = each_form.withColumn("_key", key)
-    pieces = F.array_distinct(F.split(F.lower("source_text"), r"(?U)[^\w]+"))
+    pieces = F.array_distinct(F.split("source_text", r"(?U)[^\w]+"))
     words = units.withColumn("_w", F.explode(pieces)).join(keyed.where("_mode = 'word' and _key <> ''"), F.col("_w") == F.col("_key")).drop("_w")
     exact = units.join(keyed.where("_mode = 'exact'"), F.col("source_text") == F.col("_key"))
     rest = units.join(keyed.where("_key = ''"), _holds(F.col("_mode"), F.col("source_text"), F.col("_form")))

@@ -59,12 +59,12 @@ _EXACT = """SELECT u.stable_identity, tm.translation FROM u JOIN tm ON u.stable_
 _RANKED = """SELECT u.stable_identity, arg_min(tm.translation,(CASE WHEN tm.relative_path=u.relative_path THEN 0 ELSE 1 END, updated_at, tm.translation)) AS translation,
   min(CASE WHEN tm.relative_path=u.relative_path THEN 0 ELSE 1 END) AS path_rank
   FROM u JOIN tm ON u.adapter_id=tm.adapter_id AND u.logical_key=tm.logical_key AND u.source_fingerprint=tm.source_fingerprint AND tm.relative_path IN (u.relative_path, lower(u.p_brand))
-  WHERE origin='legacy' AND classification='legacy_clean' AND trim(tm.translation)<>'' GROUP BY 1"""
+  WHERE origin='legacy' AND classification IN ('legacy_clean','legacy_suspect') AND review_state<>'quarantined' AND tm.translation<>'' GROUP BY 1"""
 _REVIEWED = """SELECT project_id, source_fingerprint, min(translation) AS translation FROM tm WHERE is_formal AND quality_state='passed'
   AND review_state IN ('locked','reviewed','checked') AND trim(translation)<>'' GROUP BY 1,2 HAVING count(DISTINCT translation)=1"""
 _CONVERGED = """SELECT norm, translation, n, CAST(total AS BIGINT) AS total FROM (SELECT lower(source_text) AS norm, translation, count(*) AS n,
   sum(count(*)) OVER (PARTITION BY lower(source_text)) AS total, row_number() OVER (PARTITION BY lower(source_text) ORDER BY count(*) DESC, translation DESC) AS r
-  FROM tm WHERE origin='legacy' AND classification='legacy_clean' AND trim(translation)<>'' GROUP BY 1,2) WHERE r=1 AND total>=2 AND n>=0.8*total"""
+  FROM tm WHERE origin='legacy' AND classification IN ('legacy_clean','legacy_suspect') AND review_state<>'quarantined' AND trim(translation) NOT IN ('', trim(source_text)) GROUP BY 1,2) WHERE r=1 AND total>=2 AND n>=0.8*total"""
 
 
 @query(f"WITH {TM_SQL} {_EXACT}")
@@ -124,7 +124,7 @@ def stale_formal(spark: SparkSession, d: str) -> DataFrame:
 
 TERMS = {"red": "RED", "blue": "BLUE", "small": "SMALL", "hot": "HOT", "ring": "RING", "widget": "WIDGET", "bolt": "BOLT", "gear": "GEAR"}
 _TERMS = "t AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}','{b}')" for a, b in TERMS.items()) + ") AS v(term, target))"
-_VIOLATIONS = f"""{U_SQL}, {_TERMS}, viol AS (SELECT k, relative_path, term, target FROM u JOIN t ON regexp_matches(lower(source_text), '(^|[^a-z0-9_])'||term||'([^a-z0-9_]|$)')
+_VIOLATIONS = f"""{U_SQL}, {_TERMS}, viol AS (SELECT k, relative_path, term, target FROM u JOIN t ON regexp_matches(source_text, '(^|[^A-Za-z0-9_])'||term||'([^A-Za-z0-9_]|$)')
   WHERE NOT contains(translation, target))"""
 
 
@@ -246,7 +246,7 @@ def gate_summary(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_QA} SELECT debt_key FROM qa WHERE provenance IS DISTINCT FROM 'machine' EXCEPT SELECT debt_key FROM qa WHERE k%2=1")
 def debt_ratchet(spark: SparkSession, d: str) -> DataFrame:
     qa = _qa(spark, d)
-    return qa.where(~F.col("provenance").eqNullSafe("machine")).select("debt_key").exceptAll(qa.where("k % 2 = 1").select("debt_key")).distinct()
+    return qa.where(~F.col("provenance").eqNullSafe("machine")).select("debt_key").distinct().join(qa.where("k % 2 = 1").select("debt_key"), "debt_key", "left_anti")
 
 
 @query(f"""WITH {U_SQL} SELECT source_text, count(DISTINCT translation) AS variants, count(*) AS units, arg_min(logical_key, k) AS sample_key, string_agg(DISTINCT translation, '|' ORDER BY translation) AS translations
@@ -290,6 +290,29 @@ def placeholder_mismatch(spark: SparkSession, d: str) -> DataFrame:
     return p.select("k", (~tx.same_multiset(tx.placeholders(F.col("s")), tx.placeholders(F.col("t")))).alias("mismatch"))
 
 
+@query("""WITH p AS (SELECT p_partkey AS k, p_name||' %(n)s {'||(p_size%5)||'}' AS s, p_name||' %(n)s'||CASE WHEN p_partkey%7=0 THEN '' ELSE ' {'||(p_size%5)||'}' END||CASE WHEN p_partkey%7=1 THEN ' {'||(p_size%5)||'}' ELSE '' END AS t FROM part),
+  h AS (SELECT k, unnest(regexp_extract_all(s,'%\\([A-Za-z_]\\w*\\)[sd]|\\{\\d+\\}')) AS x, 1 AS n FROM p UNION ALL SELECT k, unnest(regexp_extract_all(t,'%\\([A-Za-z_]\\w*\\)[sd]|\\{\\d+\\}')), -1 FROM p),
+  c AS (SELECT k, x, sum(n) AS n FROM h GROUP BY 1,2)
+  SELECT k, coalesce(string_agg(x, ',' ORDER BY x) FILTER (WHERE n>0), '') AS missing, coalesce(string_agg(x, ',' ORDER BY x) FILTER (WHERE n<0), '') AS extra FROM c GROUP BY 1""")
+def placeholder_diff(spark: SparkSession, d: str) -> DataFrame:
+    brace, k = F.concat(F.lit(" {"), (F.col("p_size") % 5).cast("string"), F.lit("}")), F.col("p_partkey")
+    s, t = F.concat("p_name", F.lit(" %(n)s"), brace), F.concat(F.col("p_name"), F.lit(" %(n)s"), F.when(k % 7 == 0, "").otherwise(brace), F.when(k % 7 == 1, brace).otherwise(""))
+    both = table(spark, d, "part").select(k.alias("k"), tx.placeholders(s).alias("s"), tx.placeholders(t).alias("t"))
+    return both.select("k", F.array_join(tx.multiset_except(F.col("s"), F.col("t")), ",").alias("missing"), F.array_join(tx.multiset_except(F.col("t"), F.col("s")), ",").alias("extra"))
+
+
+@query(f"""WITH {_VIOLATIONS}, {_QA[_QA.index("q AS (SELECT k") :]} SELECT k, code FROM qa
+  UNION ALL SELECT k, 'glossary_violation' FROM viol WHERE k IN (SELECT k FROM u WHERE trim(translation)<>'')""")
+def qa_records(spark: SparkSession, d: str) -> DataFrame:
+    terms = spark.createDataFrame(list(TERMS.items()), "source string, target string")
+    return review.records(u_part(spark, d), terms).select("k", "code")
+
+
+@query("""WITH j AS (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events) SELECT event_id, key, json_extract_string(props, '$."'||key||'"') AS value FROM j""")
+def json_flatten(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
+
+
 @query("SELECT lower(tag) AS tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(html,'<(/?[A-Za-z][A-Za-z0-9]*)',1)) AS tag FROM pages) GROUP BY 1")
 def tag_frequency(spark: SparkSession, d: str) -> DataFrame:
     held = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<(/?[A-Za-z][A-Za-z0-9]*)"), F.lit(1))).alias("tag"))
@@ -311,13 +334,8 @@ def _fragments(docs: DataFrame) -> DataFrame:
     return held.groupBy("lang", "frag").agg(F.count("*").alias("n"))
 
 
-@query(r"SELECT lang, frag, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text),'[a-z]*[äöüß][a-zäöüß]*')) AS frag FROM documents WHERE lang='de') GROUP BY 1,2")
-def residue_fragments(spark: SparkSession, d: str) -> DataFrame:
-    return _fragments(table(spark, d, "documents").where("lang = 'de'"))
-
-
 @query(r"SELECT lang, frag, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text),'[a-z]*[äöüß][a-zäöüß]*')) AS frag FROM documents) GROUP BY 1,2")
-def residue_fragments_by_lang(spark: SparkSession, d: str) -> DataFrame:
+def residue_fragments(spark: SparkSession, d: str) -> DataFrame:
     return _fragments(table(spark, d, "documents"))
 
 
@@ -348,6 +366,28 @@ def promote_run(spark: SparkSession, d: str) -> DataFrame:
     return memory.promote(tm, tm.where("k % 4 = 1").select("stable_identity")).select("k", "is_formal")
 
 
+@query(f"""WITH {TM_SQL}, e AS (SELECT k, stable_identity, CASE WHEN k%7=0 THEN ' ' ELSE upper(p_type) END AS translation, CASE WHEN k%11=0 THEN 'failed' ELSE 'passed' END AS quality_state FROM u WHERE k%3=0),
+  j AS (SELECT e.k, CASE WHEN trim(e.translation)='' THEN 'translation' WHEN e.quality_state<>'passed' THEN 'quality_state' END AS bad,
+    CASE WHEN tm.origin='paratranz' AND tm.human_authored THEN 'remote_human' WHEN tm.review_state='locked' THEN 'locked' END AS why FROM e LEFT JOIN tm USING (stable_identity))
+  SELECT k, CASE WHEN bad IS NOT NULL THEN 'refused' WHEN why IS NOT NULL THEN 'guarded' ELSE 'written' END AS outcome, coalesce(bad, why) AS reason FROM j""")
+def human_write_guard(spark: SparkSession, d: str) -> DataFrame:
+    u, k = u_part(spark, d), F.col("k")
+    shaped = u.where(k % 3 == 0).withColumns({c: F.lit(v) for c, v in memory.REVIEWED_ROW.items()})
+    entries = shaped.withColumns({"translation": F.when(k % 7 == 0, " ").otherwise(F.upper("p_type")), "quality_state": F.when(k % 11 == 0, "failed").otherwise("passed")})
+    return memory.human_write(tm_part(spark, d), entries).join(u.select("stable_identity", "k"), "stable_identity").select("k", "outcome", "reason")
+
+
+@query(f"""WITH {TM_SQL} SELECT k, CASE WHEN origin='human' AND k%3=0 THEN 'before '||k ELSE translation END AS translation FROM tm WHERE NOT (origin='human' AND k%3=0 AND k%8=0)
+  UNION ALL SELECT k, 'before '||k FROM u WHERE k%9=0 AND k%3=0 AND k%4=0 AND k%8<>0""")
+def retire_restore(spark: SparkSession, d: str) -> DataFrame:
+    """Before-images of reviewed rows put back: some were absent, some (of rows deleted since) come anew."""
+    tm, k = tm_part(spark, d), F.col("k")
+    written = tm.where((F.col("origin") == "human") & (k % 3 == 0))
+    gone = u_part(spark, d).where((k % 9 == 0) & (k % 4 == 0)).select(*[F.col(c) if c in u_part(spark, d).columns else F.lit(None).cast(t).alias(c) for c, t in tm.dtypes])
+    images = written.unionByName(gone).withColumn("translation", F.concat(F.lit("before "), k.cast("string"))).withColumn("present", k % 8 != 0)
+    return memory.restore(tm, images).select("k", "translation")
+
+
 @query(f"""WITH {TM_SQL} SELECT k FROM tm WHERE NOT (origin='human' AND k%8=0)""")
 def retire_human(spark: SparkSession, d: str) -> DataFrame:
     tm = tm_part(spark, d)
@@ -379,7 +419,7 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("target"), action.alias("action"), F.when(F.col("event_type") == "purchase", F.col("props")).alias("text"))
 
 
-_LEDGER = """l AS (SELECT user_id AS target, arg_max(CASE event_type WHEN 'purchase' THEN 'committed' WHEN 'view' THEN 'skipped' WHEN 'signup' THEN 'draft' WHEN 'click' THEN 'deferred' ELSE 'pending' END, event_id) AS state,
+_LEDGER = """l AS (SELECT user_id AS target, arg_max(CASE event_type WHEN 'purchase' THEN 'committed' WHEN 'view' THEN 'skipped' WHEN 'signup' THEN 'draft' WHEN 'click' THEN 'deferred' WHEN 'error' THEN 'reverted' ELSE 'pending' END, event_id) AS state,
   arg_max(props, event_id) FILTER (WHERE event_type='purchase') AS text, max(event_id) AS cursor, count(*) AS events FROM events GROUP BY 1)"""
 
 
@@ -388,9 +428,9 @@ def ledger_replay(spark: SparkSession, d: str) -> DataFrame:
     return ev.ledger(_log(spark, d))
 
 
-@query(f"WITH {_LEDGER}, s AS (SELECT unnest(['committed','skipped','draft','deferred','pending','unseen']) AS state) SELECT s.state, count(l.target) AS n FROM s LEFT JOIN l ON s.state=l.state GROUP BY 1")
+@query(f"WITH {_LEDGER}, s AS (SELECT unnest(['committed','skipped','draft','deferred','reverted','pending','unseen']) AS state) SELECT s.state, count(l.target) AS n FROM s LEFT JOIN l ON s.state=l.state GROUP BY 1")
 def ledger_counters(spark: SparkSession, d: str) -> DataFrame:
-    states = spark.createDataFrame([(s,) for s in ("committed", "skipped", "draft", "deferred", "pending", "unseen")], "state string")
+    states = spark.createDataFrame([(s,) for s in ("committed", "skipped", "draft", "deferred", "reverted", "pending", "unseen")], "state string")
     return F.broadcast(states).join(ev.ledger(_log(spark, d)), "state", "left").groupBy("state").agg(F.count("target").alias("n"))
 
 

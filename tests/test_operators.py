@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
@@ -77,3 +78,72 @@ def test_terms_of_many_words_modes_variants_and_scopes(spark):
     ], "k long, source_text string, translation string, relative_path string")
     got = sorted((r["k"], r["term"]) for r in review.term_violations(units, terms).collect())
     assert got == [(1, "battle pass"), (3, "KV-1"), (5, "C++"), (6, "gold"), (7, "Yes"), (9, "silver"), (14, "%"), (15, "silver")]
+
+
+def test_placeholders_of_every_general_form(spark):
+    text = "%(n).2f %(who)s %5.1f %i %% {name.x[0]} {12} <b class='x'> </b> a\r\nb\nc {not this} {9a}"
+    got = one(spark, tx.placeholders(F.col("t")), t=text)
+    assert got == ["%(n).2f", "%(who)s", "%5.1f", "%i", "%%", "{name.x[0]}", "{12}", "<b class='x'>", "</b>", "\r\n", "\n"]
+    rows = spark.createDataFrame([(1, "a\nb", "ab"), (2, "%(name)s", "%(name)s"), (3, "x", "【PH_a1b2c3d4_0】 y"), (4, None, None), (5, None, "y"), (6, "12 %", "12 %")], "k int, source_text string, translation string")
+    assert {r["k"]: r["c"] for r in rows.select("k", review.codes().alias("c")).collect()} == {1: ["placeholder_mismatch"], 2: [], 3: ["placeholder_variant_residue"], 4: ["empty_translation"], 5: [], 6: ["untranslated"]}
+    assert one(spark, tx.unmasked(F.col("t")), t="[PH_a1b2c3d4_0] [Root.GetName] $VAR$ {{x}} §Y %1$s") == ["[Root.GetName]", "$VAR$", "{{x}}", "§Y", "%1$s"]
+    assert one(spark, tx.multiset_except(F.array(F.lit("a"), F.lit("a"), F.lit("b")), F.array(F.col("t"))), t="a") == ["a", "b"]
+
+
+def test_runs_and_normal_forms(spark):
+    assert one(spark, tx.runs(F.col("t"), "[A-Za-z]+", 2), t="装Rearmament Program, now还有Panzer。a-b") == ["Rearmament Program now", "a b"]
+    assert one(spark, tx.runs(F.col("t"), "[A-Za-z]+", 1), t="") == []
+    form = lambda t, *rules: tuple(one(spark, tx.normalized(F.col("t"), rules), t=t))
+    assert form("a  b   c", ("  ", " ")) == ("a b c", True)
+    assert form("ab", ("a", "b"), ("b", "a")) == ("aa", True) and form("ab", ("^a", "c"), ("^c", "d"), ("^d", "a")) == ("ab", True)
+    assert form("x", ("x", "xx")) == ("x", False) and form("ab", ("^ab$", "ba#"), ("^ba$", "ab"), ("#$", "")) == ("ab", False)
+
+
+def test_the_ledger_knows_every_action_and_ties(spark):
+    log = spark.createDataFrame([(1, "a", "unify", "x"), (1, "b", "accept_debt", None), (1, "c", "commit", "x"), (2, "c", "revert", None), (1, "d", "retire", None), (3, "e", "skip", "p"), (3, "e", "commit", "q")], "seq long, target string, action string, text string")
+    got = {r["target"]: (r["state"], r["text"]) for r in events.ledger(log).collect()}
+    assert got == {"a": ("committed", "x"), "b": ("committed", None), "c": ("reverted", "x"), "d": ("pending", None), "e": ("skipped", "p")}
+
+
+def test_terms_go_by_their_very_characters(spark):
+    units = spark.createDataFrame([(1, "an Iron Ring", "x"), (2, "an iron ring", "x")], "k long, source_text string, translation string")
+    terms = spark.createDataFrame([("iron ring", "IR")], "source string, target string")
+    assert [r["k"] for r in review.term_violations(units, terms).collect()] == [2]
+
+
+def test_legacy_rows_of_suspect_class_aliases_and_judgement(spark):
+    row = "stable_identity string, project_id string, adapter_id string, relative_path string, logical_key string, source_text string, source_fingerprint string, translation string"
+    tm = spark.createDataFrame([
+        ("x1", "p", "a", "f.po", "old", "src %s", "h", "alt %s", "legacy", "legacy_suspect", "unreviewed", 2), ("x2", "p", "a", "d/f.po", "key", "src %s", "h", "quar %s", "legacy", "legacy_clean", "quarantined", 1),
+        ("x3", "p", "a", "f.po", "gone", "src %s", "h", "lost", "legacy", "legacy_clean", "unreviewed", 1),
+    ], row + ", origin string, classification string, review_state string, updated_at int")
+    tm = tm.withColumn("quality_state", F.lit("passed")).withColumn("is_formal", F.lit(False))
+    units = spark.createDataFrame([("u1", "p", "a", "d/f.po", "key", "src %s", "h", "", ["old"]), ("u2", "p", "a", "f.po", "gone", "src %s", "h", "", None)], row + ", aliases array<string>")
+    assert {r[0]: (r[1], r[2]) for r in memory.ranked(units, tm).collect()} == {"u1": ("alt %s", 1), "u2": ("lost", 0)}
+    got = {r["stable_identity"]: (r["decision"], r["resolved"]) for r in memory.resolve(units, tm).collect()}
+    assert got == {"u1": ("legacy_coordinate", "alt %s"), "u2": ("pending", None)}  # a text without its placeholder is passed over
+
+
+def test_repeated_keys_and_empty_tables_have_a_result(spark):
+    row = "stable_identity string, translation string, is_formal boolean, human_authored boolean, origin string"
+    old = spark.createDataFrame([("a", "x", False, False, "machine")], row)
+    new = spark.createDataFrame([("a", "y", False, False, "machine"), ("a", "z", False, False, "machine")], row)
+    assert [(r["translation"], r["outcome"]) for r in memory.upsert(old, new).collect()] == [("z", "updated")]
+    assert memory.upsert(old.where("false"), new.where("false")).count() == 0
+    item = "key string, original string, translation string, stage int, origin string"
+    side = spark.createDataFrame([("a", "o", "x", 0, "machine"), ("a", "o", "y", 0, "machine")], item)
+    assert merge.merge(side.where("false"), side, side.where("false")).count() == 1
+    with pytest.raises(Exception, match="a resolution names a side without the key a"):
+        merge.merge(side, side, side.where("false"), spark.createDataFrame([("a", "remote")], "key string, side string")).collect()
+    assert events.ledger(spark.createDataFrame([], "seq long, target string, action string, text string")).count() == 0
+    assert events.lineage(spark.createDataFrame([(1, 2), (2, 1)], "id long, parent long"), 4).count() == 8
+
+
+def test_only_reviewed_rows_are_taken_back(spark):
+    row = "stable_identity string, translation string, origin string"
+    tm = spark.createDataFrame([("a", "x", "human"), ("b", "y", "machine")], row)
+    image = lambda *rows: spark.createDataFrame(list(rows), row + ", present boolean")
+    assert sorted(map(tuple, memory.restore(tm, image(("a", "was", "legacy", True))).collect())) == [("a", "was", "legacy"), ("b", "y", "machine")]
+    assert sorted(map(tuple, memory.restore(tm, image(("a", None, None, False))).collect())) == [("b", "y", "machine")]
+    with pytest.raises(Exception, match="not written by a reviewer: b"):
+        memory.restore(tm, image(("b", "was", "machine", True))).collect()
