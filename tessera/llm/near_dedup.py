@@ -281,13 +281,18 @@ def differences(batches: Iterator[pd.DataFrame], size: int, guest: int) -> Itera
 
 
 def _prefixed(held: DataFrame) -> DataFrame:
-    """held (node, rep, key, diff, take, ...) -> a row for each of the `take` rarest tokens of diff: token, pos; the order is the same in all of a node."""
+    """held (node, rep, key, diff, take, ...) -> token, pos of the `take` rarest tokens of diff; the order is the same in all of a node.
+
+    Tokens that no other difference of the node holds keep their places, but bring nobody together and get no row.
+    """
     kept = [c for c in held.columns if c not in ("diff", "take")]
     each = held.select(*kept, "take", F.explode("diff").alias("token"))
-    common = written(each.groupBy("node", "token").agg(F.count("*").alias("_n")).where(F.col("_n") >= COMMON))
-    marked = each.join(small(common, common.count(), 40), ["node", "token"], "left")
-    ranked = marked.groupBy(*kept, "take").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "token"))).alias("_o"))
-    return ranked.select(*kept, F.posexplode(F.slice("_o", F.lit(1), F.col("take"))).alias("_p", "_t")).select(*kept, "_t.token", (F.col("_p") + 1).alias("pos"))
+    shared = written(each.groupBy("node", "token").agg(F.count("*").alias("_n")).where("_n > 1"))
+    marked = each.join(small(shared, shared.count(), 40), ["node", "token"], "left")
+    order = F.struct(F.when(F.col("_n") >= COMMON, F.col("_n")).otherwise(F.lit(0)).alias("_c"), "token", F.col("_n").isNotNull().alias("_s"))
+    ranked = marked.groupBy(*kept, "take").agg(F.sort_array(F.collect_list(order)).alias("_o"))
+    placed = F.transform(F.slice("_o", F.lit(1), F.col("take")), lambda x, i: F.struct(x["token"].alias("token"), (i + 1).alias("pos"), x["_s"].alias("_s")))
+    return ranked.select(*kept, F.explode(F.filter(placed, lambda x: x["_s"])).alias("_t")).select(*kept, "_t.token", "_t.pos")
 
 
 def _met(x: DataFrame, y: DataFrame, on: Column, shared: Callable[[Column, Column], Column]) -> DataFrame:
