@@ -5,7 +5,7 @@ CHOICE minwise coordinates of its own, of which the node's own hash chooses two,
 minwise token there. So no coordinate comes twice on a path, and a node of depth d holds what agrees in d of them. Five trees miss one pair in about
 520,000 at the threshold itself if it is compared at depth 3, 340,000 at depth 4 and 170,000 at depth 8 (`tests/llm` counts it, shared coordinates included), and fewer above it.
 
-First the large nodes compare their members with two pivots each (stars: as many pairs as members, never all pairs); then, level by level,
+First each large node compares its members with two pivots (stars: as many pairs as members, never all pairs); then, level by level,
 small nodes are compared exhaustively and large ones branch again. After every LEVELS levels the large nodes are searched for dense members, those
 with a similarity of HOME or more to the node's pivot: tokens that they all share would never part them, so they branch by the rarest tokens of their
 difference from the pivot instead, meet all members that differ from it alike, and leave the node. What is left has little in common and goes on with fresh
@@ -242,14 +242,12 @@ def _star(rows: DataFrame, order: Column, percent: int) -> DataFrame:
 
 
 def _stars(rows: DataFrame, percent: int) -> DataFrame:
-    """In small nodes none is needed; large ones have a random pivot and the most central member. A document takes part in the largest node of each tree.
+    """In small nodes none is needed; large ones have a random pivot and the most central member.
 
     Central is who shares its nodes with most documents (`weight`): the original of a group of copies that each went their own way.
     """
     large = rows.where(F.col("size") > SMALL_NODE)
-    order = F.col("size") * 1024 + F.pmod("node", F.lit(1024))
-    largest = large.groupBy("rep", "which", "label", "weight", "t", *SKETCHES).agg(F.max_by("node", order).alias("node"))
-    return _star(largest, -F.col("weight"), percent).unionByName(_star(largest, F.xxhash64("rep", "node"), percent))
+    return _star(large, -F.col("weight"), percent).unionByName(_star(large, F.xxhash64("rep", "node"), percent))
 
 
 def _exhaustive(rows: DataFrame, percent: int) -> DataFrame:
