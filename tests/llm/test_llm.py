@@ -160,6 +160,19 @@ def test_components_of_a_long_chain(spark):
     assert {tuple(r) for r in near_dedup.components(edges).collect()} == {(i, 1) for i in range(2, 41)}
 
 
+@pytest.mark.parametrize("edges", [[], [(3, 3)], [(5, 2), (2, 5), (2, 5)], [(9, i) for i in range(10, 14)], [(i, 9) for i in range(4)], "random"])
+def test_components_are_those_of_plain_merging(spark, edges):
+    if edges == "random":
+        own = random.Random(7)  # the shared one would change the tests that follow
+        edges = [(own.randrange(400), own.randrange(400)) for _ in range(220)]
+    least = {x: x for e in edges for x in e}
+    while any(least[a] != least[b] for a, b in edges):
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    got = near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == sorted((x, c) for x, c in least.items() if x != c)
+
+
 def test_quality_measures(docs, texts):
     got = {r["doc_id"]: r for r in quality.judged(docs).collect()}
     for i, t in texts:
