@@ -110,7 +110,7 @@ def _sized(docs: DataFrame, row: Column) -> DataFrame:
 
 
 def mix(docs: DataFrame, budget: int | None = None, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None, flatten: float | None = None, seed: int = 0, cover: bool = False) -> DataFrame:
-    """One row per draw: doc_id, source, tokens, pass (from 0), block, position (running tokens of the source before it), weight, exponent.
+    """One row per draw: doc_id, source, tokens, pass (from 0), block, position (running tokens of the source before it, earlier passes included), weight, exponent.
 
     docs: doc_id, source, text; other columns are not read. Tokens are the words of the whole text. Null sources are one source; rows of a doc_id are drawn each on
     their own, equal ones included; texts without words hold no tokens and are never drawn, nor are sources without any. An empty table gives no draws.
@@ -127,21 +127,21 @@ def _mixed(sized: DataFrame, budget: int | None, max_repeats: float | None, targ
     each = chunks.withColumn("_copy", F.explode(F.sequence("_from", F.least(F.col("_from") + CHUNK, F.col("_n")) - 1))).drop("_from")
     each = each.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "_row", "_copy"), F.col("blocks")).cast("int"))
     draws = each.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
-    # whole passes but the last lie within the budget: only the last needs running sums
-    whole = draws.where("pass < passes - 1")
-    last = draws.where("pass = passes - 1")
-    sums = each.groupBy("source", "block", "passes").agg(F.sum("tokens").alias("_t"))
-    shuffled = sums.withColumn("_place", F.xxhash64(F.lit(seed), F.col("passes"), "source", "block")).withColumn("_chunk", F.shiftrightunsigned("_place", 52))
-    chunks = shuffled.groupBy("source", "_chunk").agg(F.sum("_t").alias("_c"))
-    by_chunk = Window.partitionBy("source").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    in_chunk = Window.partitionBy("source", "_chunk").orderBy("_place", "block").rowsBetween(Window.unboundedPreceding, -1)
-    before = shuffled.join(chunks.withColumn("_c0", F.coalesce(F.sum("_c").over(by_chunk), F.lit(0))).drop("_c").withColumnRenamed("source", "_s").withColumnRenamed("_chunk", "_k"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_chunk") == F.col("_k")))
-    before = before.select(F.col("source").alias("_s"), F.col("block").alias("_b"), (F.col("_c0") + F.coalesce(F.sum("_t").over(in_chunk), F.lit(0))).alias("_before"))
-    in_block = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed), F.col("pass"), "doc_id", "_row", "_copy"), "doc_id", "_row", "_copy").rowsBetween(Window.unboundedPreceding, -1)
-    cut = last.withColumn("_in", F.coalesce(F.sum("tokens").over(in_block), F.lit(0))).join(before, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
-    cut = cut.withColumn("position", F.col("pass") * F.col("source_tokens") + F.col("_before") + F.col("_in")).where("position < target")
-    names = ["doc_id", "source", "tokens", "pass", "block", "position", "weight", "exponent", "_row", "_n"]
-    return whole.withColumn("position", F.lit(None).cast("long")).select(*names).unionByName(cut.select(*names))
+    # every pass is a permutation: its blocks in an order of its own, within them the documents
+    in_pass = F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("pass")
+    sums = each.groupBy("source", "block", "passes").agg(F.sum("tokens").alias("_t")).select("source", "block", "_t", in_pass)
+    shuffled = sums.withColumn("_place", F.xxhash64(F.lit(seed), F.col("pass"), "source", "block")).withColumn("_chunk", F.shiftrightunsigned("_place", 52))
+    chunks = shuffled.groupBy("source", "pass", "_chunk").agg(F.sum("_t").alias("_c"))
+    by_chunk = Window.partitionBy("source", "pass").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    in_chunk = Window.partitionBy("source", "pass", "_chunk").orderBy("_place", "block").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.select(F.col("source").alias("_s"), F.col("pass").alias("_p"), F.col("_chunk").alias("_k"), F.coalesce(F.sum("_c").over(by_chunk), F.lit(0)).alias("_c0"))
+    before = shuffled.join(chunks, F.col("source").eqNullSafe(F.col("_s")) & (F.col("pass") == F.col("_p")) & (F.col("_chunk") == F.col("_k")))
+    before = before.select("_s", "_p", F.col("block").alias("_b"), (F.col("_c0") + F.coalesce(F.sum("_t").over(in_chunk), F.lit(0))).alias("_before"))
+    in_block = Window.partitionBy("source", "pass", "block").orderBy(F.xxhash64(F.lit(seed), F.col("pass"), "doc_id", "_row", "_copy"), "doc_id", "_row", "_copy").rowsBetween(Window.unboundedPreceding, -1)
+    placed = draws.withColumn("_in", F.coalesce(F.sum("tokens").over(in_block), F.lit(0)))
+    placed = placed.join(before, F.col("source").eqNullSafe(F.col("_s")) & (F.col("pass") == F.col("_p")) & (F.col("block") == F.col("_b")))
+    placed = placed.withColumn("position", F.col("pass") * F.col("source_tokens") + F.col("_before") + F.col("_in")).where("position < target")
+    return placed.select("doc_id", "source", "tokens", "pass", "block", "position", "weight", "exponent", "_row", "_n")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
