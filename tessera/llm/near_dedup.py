@@ -42,6 +42,10 @@ SMALL_NODE, FAN, HOME = 16, 256, 60
 BLOCK = 256
 #: Tokens in fewer differences of a node than this are all counted as rare.
 COMMON = 32
+#: Up to so many members with so many tokens in their differences meet in one task, all pairs counted at once; what is larger meets by its tokens.
+WHOLE, WHOLE_TOKENS = 512, 1 << 18
+#: Tokens whose holders are multiplied at a time.
+COLUMNS = 4096
 #: A sketch passes if its agreement is at most so many standard deviations below that of the threshold: of 128 two-bit minwise
 #: values, 108.8 +- 4.0 agree at similarity 0.8, and 91 must.
 SIGMAS = 4.4
@@ -277,6 +281,25 @@ def differences(batches: Iterator[pd.DataFrame], size: int, guest: int) -> Itera
             yield pd.DataFrame(found, columns=["a", "b", "node", "key", "n", "m", "diff"])
 
 
+def among(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The links (a, b) among the members of one node, from how many tokens each two of their differences share."""
+    d, n, label, core = (group[c].to_numpy() for c in ("d", "n", "label", "core"))
+    _, at, holders = np.unique(np.concatenate(group["diff"].to_list()), return_inverse=True, return_counts=True)
+    member, kept = np.repeat(np.arange(len(d)), d), holders[at] > 1
+    member, column = member[kept], (np.cumsum(holders > 1) - 1)[at[kept]]
+    order = np.argsort(column, kind="stable")
+    member, column, both = member[order], column[order], np.zeros((len(d), len(d)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        low, high = np.searchsorted(column, (start, start + COLUMNS))
+        held = np.zeros((len(d), COLUMNS), np.float32)
+        held[member[low:high], column[low:high] - start] = 1
+        both += held @ held.T
+    apart = d[:, None].astype(np.int64) + d - 2 * both.astype(np.int64)
+    x, y = np.nonzero(np.triu((apart * (100 + percent) <= (n[:, None] + n) * (100 - percent)) & (label[:, None] != label) & ~(core[:, None] & core), 1))
+    rep = group["rep"].to_numpy()
+    return pd.DataFrame({"a": rep[x], "b": rep[y]}, dtype="int64")
+
+
 def _prefixed(held: DataFrame) -> DataFrame:
     """held (node, rep, key, diff, take, ...) -> token, pos of the `take` rarest tokens of diff; the order is the same in all of a node.
 
@@ -310,7 +333,8 @@ def _settled(rows: DataFrame, texts: DataFrame, size: int, percent: int, home: i
     what the threshold leaves, and is met whether or not it is dense itself. With D the tokens that only one of a member and the pivot holds,
     x and y differ in |Dx| + |Dy| - 2 |Dx and Dy| tokens. So members close to the pivot are linked with it, and two that are not are linked only if
     Dx and Dy share many tokens, of which one is among the rarest of either. What they have in common with the pivot
-    no longer brings them together: a dense group costs its members, not their square.
+    no longer brings them together: a dense group costs its members, not their square. In nodes of WHOLE members at most all pairs are counted in one
+    task instead, so that no token becomes a row.
     """
     pivots = rows.groupBy("node").agg(F.min_by(F.struct("rep", "which", "label", *SKETCHES), F.struct(-F.col("weight"), F.col("rep"))).alias("p"))
     guest = max(0, home - (100 - percent))
@@ -327,8 +351,23 @@ def _settled(rows: DataFrame, texts: DataFrame, size: int, percent: int, home: i
     direct = held.where(near & (F.col("label") != F.col("top"))).select("a", "b")
     # the least number of tokens that differences of these slacks must share
     shared = lambda s, t: F.greatest(F.ceil((s + t) / F.lit(2 * (100 + percent))), F.lit(1)).cast("int")
-    low = held.where(~F.col("core")).groupBy("node").agg(F.min("slack").alias("low"))
-    sized = held.join(low, "node").select("node", F.col("b").alias("rep"), "key", "label", "core", "dense", "slack", "low", F.size("diff").alias("d"), (-F.col("m") * (100 - percent)).alias("least"), "diff")
+    # a node without members beyond the core has no more links
+    counted = held.groupBy("node").agg(F.min(F.when(~F.col("core"), F.col("slack"))).alias("low"), F.count("*").alias("members"), F.sum(F.size("diff")).alias("tokens")).where("low is not null")
+    counted = written(counted.select("node", "low", ((F.col("members") <= WHOLE) & (F.col("tokens") <= WHOLE_TOKENS)).alias("few")))
+    sized = held.join(small(counted, counted.count(), 24), "node").select("node", F.col("b").alias("rep"), "key", "n", "label", "core", "dense", "slack", "low", "few", F.size("diff").alias("d"), (-F.col("m") * (100 - percent)).alias("least"), "diff")
+    in_task = sized.where("few").select("node", "rep", "n", "label", "core", "d", "diff").groupBy("node").applyInPandas(lambda g: among(g, percent), "a long, b long")
+    direct = direct.unionByName(in_task)
+    if not counted.where("not few").isEmpty():
+        direct = direct.unionByName(_by_tokens(sized.where("not few").drop("few", "n"), alone, shared, percent))
+    gone = diffs.where("dense").select(F.col("a").alias("_a"), F.col("b").alias("_b")).distinct()
+    # a doc_id with several sets stays: one of them being dense says nothing of the others
+    left = rows.join(pivots.select("node", F.when(F.col("p.which") == 0, F.col("p.rep")).alias("_p")), "node")
+    left = left.join(gone, (left["_p"] == gone["_a"]) & (left["rep"] == gone["_b"]) & (left["which"] == 0), "left_anti").drop("_p")
+    return direct.distinct(), left
+
+
+def _by_tokens(sized: DataFrame, alone: DataFrame, shared: Callable[[Column, Column], Column], percent: int) -> DataFrame:
+    """Links (a, b) among the members of large nodes: who meets at one of the rarest tokens of both differences is compared."""
     thin = F.col("d") - shared(F.col("slack"), F.col("low")) + 1
     wide = F.when(F.col("core"), thin).otherwise(F.col("d") - shared(F.col("slack"), F.col("least")) + 1)
     taken = written(_prefixed(sized.withColumn("take", wide).where("take > 0").drop("least")))
@@ -341,12 +380,7 @@ def _settled(rows: DataFrame, texts: DataFrame, size: int, percent: int, home: i
     side = lambda e: alone.select("node", F.col("b").alias(f"rep{e}"), F.col("key").alias(f"key{e}"), F.col("n").alias(f"n{e}"), F.col("diff").alias(f"diff{e}"))
     full = pairs.join(side(""), ["node", "rep", "key"]).join(side("_2"), ["node", "rep_2", "key_2"])
     apart = F.size("diff") + F.size("diff_2") - 2 * F.size(F.array_intersect("diff", "diff_2"))
-    found = full.where(apart * (100 + percent) <= (F.col("n") + F.col("n_2")) * (100 - percent)).select(F.col("rep").alias("a"), F.col("rep_2").alias("b"))
-    gone = diffs.where("dense").select(F.col("a").alias("_a"), F.col("b").alias("_b")).distinct()
-    # a doc_id with several sets stays: one of them being dense says nothing of the others
-    left = rows.join(pivots.select("node", F.when(F.col("p.which") == 0, F.col("p.rep")).alias("_p")), "node")
-    left = left.join(gone, (left["_p"] == gone["_a"]) & (left["rep"] == gone["_b"]) & (left["which"] == 0), "left_anti").drop("_p")
-    return direct.unionByName(found).distinct(), left
+    return full.where(apart * (100 + percent) <= (F.col("n") + F.col("n_2")) * (100 - percent)).select(F.col("rep").alias("a"), F.col("rep_2").alias("b"))
 
 
 def _renewed(rows: DataFrame, texts: DataFrame, size: int, turn: int) -> DataFrame:

@@ -129,6 +129,42 @@ def test_the_rest_alone_finds_every_link(spark, monkeypatch, size):
     assert got.component_id.to_dict() == dict(enumerate(root)) and 1 < len(set(root)) < len(made)
 
 
+@pytest.mark.parametrize("whole", [0, 512])
+def test_settled_nodes_of_any_size_find_every_link(spark, monkeypatch, whole):
+    for name, value in {"FIRST_DEPTH": 0, "LAST_DEPTH": 0, "SMALL_NODE": 1, "COMMON": 4, "WHOLE": whole}.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    monkeypatch.setattr(near_dedup, "_stars", lambda rows, percent: rows.where("false").select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+    calls, by_tokens = [], near_dedup._prefixed
+    monkeypatch.setattr(near_dedup, "_prefixed", lambda held: calls.append(1) or by_tokens(held))
+    own = random.Random(11)  # the shared one would change the tests that follow
+    said = lambda n: " ".join(own.choice(VOCABULARY) for _ in range(n))
+    shared = said(60)
+    made = [f"{shared} {said(own.randint(8, 20))}" for _ in range(50)]
+    made += [t.rsplit(" ", own.randint(0, 12))[0] for t in made[:25]] + [said(80) for _ in range(8)]
+    sets, root = [shingles(t, 2) for t in made], list(range(len(made)))
+    for a, b in combinations(root[:], 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+    got = near_dedup.linked(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"), 2, 80).toPandas().set_index("doc_id")
+    assert got.component_id.to_dict() == dict(enumerate(root)) and 1 < len(set(root)) < len(made)
+    assert bool(calls) == (whole == 0)  # only nodes beyond WHOLE make a row of each token
+
+
+def test_links_among_members_are_those_of_all_pairs(monkeypatch):
+    monkeypatch.setattr(near_dedup, "COLUMNS", 7)
+    own = random.Random(12)
+    pivot = set(range(100))
+    sets = [pivot - set(own.sample(range(100), own.randint(0, 25))) | set(own.sample(range(100, 140), own.randint(0, 25))) for _ in range(60)] + [pivot]
+    diffs = [np.array(sorted(s ^ pivot), np.int64) for s in sets]
+    label, core = [own.randrange(40) for _ in sets], [own.random() < 0.3 for _ in sets]
+    group = pd.DataFrame({"rep": range(500, 561), "n": [len(s) for s in sets], "d": [len(d) for d in diffs], "label": label, "core": core, "diff": diffs})
+    want = {(500 + i, 500 + j) for i, j in combinations(range(61), 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and label[i] != label[j] and not (core[i] and core[j])}
+    got = near_dedup.among(group, 80)
+    assert {tuple(x) for x in got.to_numpy().tolist()} == want and len(got) == len(want) > 20
+    assert len(near_dedup.among(group.iloc[60:].assign(label=1), 80)) == 0
+
+
 @pytest.mark.parametrize("depth", range(near_dedup.FIRST_DEPTH, near_dedup.LAST_DEPTH + 1))
 def test_the_trees_hold_the_stated_recall(depth):
     """The number of paths that keep a pair of similarity 0.8, level by level; all paths of a tree share a level's coordinates."""
@@ -303,7 +339,7 @@ def test_draws_are_permutations_cut_at_the_budget(spark):
 
 def test_each_pass_is_a_block_permutation_of_its_own(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", 10)
-    rows = [(i, "big", prose(30)) for i in range(300)] + [(1000 + i, None, prose(1 + i % 7)) for i in range(40)] + [(2000, None, "a b")] * 5
+    rows = [(i, "big", "w " * 30) for i in range(300)] + [(1000 + i, None, "w " * (1 + i % 7)) for i in range(40)] + [(2000, None, "a b")] * 5
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), max_repeats=4.0).toPandas()
     assert got.position.notna().all()
     small, orders = got[got.source.isna()], []
